@@ -92,10 +92,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordHasher:
-    """Words `[^\\x20\\x09-\\x0D]+` of lower-cased (A-Z) texts, as 64-bit hashes."""
+    """Words `[^\\x20\\x09-\\x0D]+` of lower-cased (A-Z) texts, as 64-bit hashes; or, plain, words of ASCII letters, digits and non-ASCII bytes.
 
-    def __init__(self) -> None:
+    After a call, data, starts and stops are the bytes of all texts and the bounds of each word in them.
+    """
+
+    def __init__(self, plain: bool = False) -> None:
         self.code, self.space = _code_tables()
+        if plain:
+            self.space[:128] = [not chr(b).isalnum() for b in range(128)]
         self.words = bytes((~self.space).astype(np.uint8))
         self.up = self.down = np.zeros(0, np.uint64)
 
@@ -126,7 +131,7 @@ class WordHasher:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and n + 1 offsets into them by text."""
         data, offsets = text_buffer(column)
-        hashes, firsts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashes, firsts, lasts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in self.pieces(data, offsets):
             part = data[a:b]
             word = np.frombuffer(part.tobytes().translate(self.words), dtype=bool)
@@ -143,8 +148,45 @@ class WordHasher:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code[part] * self.up[: b - a])])
                 hashes.append(mix((total[stop] - total[start]) * self.down[start] + (stop - start).astype(np.uint64)))
             firsts.append(start + a)
-        return np.concatenate(hashes), np.searchsorted(np.concatenate(firsts), offsets)
+            lasts.append(stop + a)
+        self.data, self.starts, self.stops = data, np.concatenate(firsts), np.concatenate(lasts)
+        return np.concatenate(hashes), np.searchsorted(self.starts, offsets)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, label: str, per_class: dict[int, int], folds: int, fold: int) -> DataFrame:
+    """Rows of docs, and tw_label, for a bounded sample of labelled ids off the fold: per class the first ids by hash.
+
+    An id with several labels counts with its greatest. At most twice the bound of rows return, however often ids repeat.
+    """
+    own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col, folds, fold))
+    own = own.groupBy(F.col(id_col).alias("tw_id")).agg(F.max(label).alias("tw_label"))
+    first = None
+    for value, most in per_class.items():
+        part = own.where(F.col("tw_label") == value).orderBy(F.xxhash64("tw_id"), "tw_id").limit(most)
+        first = part if first is None else first.unionAll(part)
+    return docs.join(F.broadcast(first), F.col(id_col) == F.col("tw_id")).drop("tw_id").limit(2 * sum(per_class.values()))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights and, last, the bias of a ridge logistic regression, by damped Newton steps."""
+    x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w, weight = np.zeros(x1.shape[1]), np.ones(len(x)) if weight is None else weight
+    pull = np.full(len(w), ridge)
+    pull[-1] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+        grad = x1.T @ (weight * (p - y)) + pull * w
+        hess = (x1 * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1 + np.diag(pull)
+        step = np.linalg.solve(hess, grad)
+        w = w - step * min(1.0, 10 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

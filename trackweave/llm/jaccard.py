@@ -7,8 +7,8 @@ prefix so long that two sets which link share a prefix shingle. The steps:
 2. Min-hashes offer each class the least class that shares one; pairs that pass the exact test join classes early. This only saves
    later work: it links nothing that step 4 would not.
 3. Prefix shingles that at least two classes hold form lists. In a list, classes with the same prefix and size are one group; pairs
-   of groups pass a size and a position filter; survivors expand to members, without pairs already joined. Long lists are cut
-   into blocks, and pairs of blocks are dealt to tasks.
+   of groups pass a size and a position filter; survivors expand to members, without pairs already joined; bitmaps of parities, which
+   bound how far two sets differ, drop most pairs that do not link. Long lists are cut into blocks, and pairs of blocks are dealt to tasks.
 4. The exact test: 100 * intersection >= threshold * union over whole sets.
 
 The order needs counts only roughly: shingles that occur in COMMON_LOCAL sets of a block of a task are summed over all tasks, and the
@@ -36,7 +36,8 @@ from trackweave.llm.components import components
 WIDTH, PERCENT = 5, 80
 MINHASHES = 4
 COMMON_LOCAL, COMMON_LEAST, TOP, BLOCK = 3, 16, 200_000, 2_000_000
-LIST, BITS = 2048, 24
+LIST, BITS, BITMAP = 2048, 24, 8
+MAP = [f"b{i}" for i in range(BITMAP)]
 
 
 def shingle_sets(hasher: WordHasher, column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,16 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-SKETCH = "kind int, doc_id long, row long, n int, d1 long, d2 long, " + ", ".join(f"m{i} long" for i in range(MINHASHES))
+SKETCH = "kind int, doc_id long, row long, n int, d1 long, d2 long, " + ", ".join([f"m{i} long" for i in range(MINHASHES)] + [f"b{i} long" for i in range(BITMAP)])
+
+
+def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of each set, 64 * BITMAP parities: two sets differ in at least as many shingles as their bitmaps differ in bits."""
+    with np.errstate(over="ignore"):
+        bit = (mix(sets ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(64 * BITMAP)).astype(np.int64)
+    n = len(at) - 1
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(at)) * 64 * BITMAP + bit, minlength=n * 64 * BITMAP).astype(np.uint8) & 1
+    return list(np.packbits(odd.reshape(n, -1), axis=1).view(np.uint64).T.copy()) if n else [np.zeros(0, np.uint64)] * BITMAP
 
 
 def sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
@@ -99,14 +109,14 @@ def sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, block, held = WordHasher(), [], 0
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + MINHASHES)]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + MINHASHES + BITMAP)]
         names = [x.split()[0] for x in SKETCH.split(", ")]
 
         def common() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(block), return_counts=True)
             found, times = found[times >= COMMON_LOCAL], times[times >= COMMON_LOCAL]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + MINHASHES)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + MINHASHES + BITMAP)], names=names)
 
         for batch in rows:
             for lo in range(0, len(batch), 500):
@@ -117,7 +127,7 @@ def sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
                 for i in range(MINHASHES):
                     with np.errstate(over="ignore"):
                         mins.append(least(mix(sets ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)), at))
-                values = [np.zeros(len(part), np.int32), part.column(0), part.column(2), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, mins)]
+                values = [np.zeros(len(part), np.int32), part.column(0), part.column(2), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, mins), *map(signed, bitmaps(sets, at))]
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
                 block.append(sets)
                 held += len(sets)
@@ -263,8 +273,8 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "t long, place int, c long, g long, k long")
 
 
-def list_pairs(t: np.ndarray, block: np.ndarray, other: np.ndarray, place: np.ndarray, c: np.ndarray, g: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of classes in lists sorted by t: groups first, size and position filters, then members of different components."""
+def list_pairs(t: np.ndarray, block: np.ndarray, other: np.ndarray, place: np.ndarray, c: np.ndarray, g: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes in lists sorted by t: groups first, size and position filters, then members of different components, then bitmaps."""
     start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1])]))
     for a, b in zip(start, [*start[1:], len(t)], strict=True):
         if b - a < 2 or (root[a:b] == root[a]).all():
@@ -283,6 +293,8 @@ def list_pairs(t: np.ndarray, block: np.ndarray, other: np.ndarray, place: np.nd
             for m in order[heads[x] : ends[x]]:
                 rest = two[(root[two] != root[m]) & (block[two] == other[m]) & (block[m] == other[two])]
                 if len(rest):
+                    apart = np.bitwise_count(bits[rest] ^ bits[m]).sum(axis=1, dtype=np.int64)
+                    rest = rest[n[m] + n[rest] - 2 * required(n[m], n[rest], percent) >= apart]
                     yield np.full(len(rest), c[m]), c[rest]
 
 
@@ -291,7 +303,7 @@ def candidates(work: Workspace, spark: SparkSession, docs: DataFrame, classes: D
     least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least_tasks, min(1 << 20, total // 4_000_000))
     lists = work.write(shared(prefix_rows(spark, docs, common, ranks, width, percent, buckets)), "lists")
-    own = classes.select(F.col("c").alias("c2"), "n", "root")
+    own = classes.select(F.col("c").alias("c2"), "n", "root", *MAP)
     rows = lists.join(own, F.col("c") == F.col("c2")).drop("c2")
     rows = rows.withColumn("block", F.when(F.col("k") > LIST, F.pmod(F.col("c"), F.ceil(F.col("k") / LIST))).otherwise(F.lit(0)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.when(F.col("k") > LIST, F.sequence(F.lit(0), F.ceil(F.col("k") / LIST).cast("int") - 1)).otherwise(F.array(F.lit(0)))))
@@ -301,10 +313,11 @@ def candidates(work: Workspace, spark: SparkSession, docs: DataFrame, classes: D
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(parts))
-        get = {x: table[x].to_numpy() for x in ("t", "lo", "hi", "block", "other", "place", "c", "g", "n", "root")}
+        get = {x: table[x].to_numpy() for x in ("t", "lo", "hi", "block", "other", "place", "c", "g", "n", "root", *MAP)}
         order = np.lexsort((get["hi"], get["lo"], get["t"]))
         x = {k: v[order] for k, v in get.items()}
         key = np.cumsum(np.concatenate([[0], (x["t"][1:] != x["t"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])]))
+        bits = np.stack([x[b].view(np.uint64) for b in MAP], axis=1)
         held, size = [], 0
 
         def sent() -> pa.RecordBatch:
@@ -312,7 +325,7 @@ def candidates(work: Workspace, spark: SparkSession, docs: DataFrame, classes: D
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        for pair in list_pairs(key, x["block"], x["other"], x["place"].astype(np.int64), x["c"], x["g"], x["n"].astype(np.int64), x["root"], percent):
+        for pair in list_pairs(key, x["block"], x["other"], x["place"].astype(np.int64), x["c"], x["g"], x["n"].astype(np.int64), x["root"], bits, percent):
             held.append(pair)
             size += len(pair[0])
             if size > 500_000:
@@ -321,7 +334,7 @@ def candidates(work: Workspace, spark: SparkSession, docs: DataFrame, classes: D
         if held:
             yield sent()
 
-    return rows.select("task", "t", "lo", "hi", "block", "other", "place", "c", "g", "n", "root").groupBy("task").applyInArrow(run, "a long, b long")
+    return rows.select("task", "t", "lo", "hi", "block", "other", "place", "c", "g", "n", "root", *MAP).groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -332,7 +345,7 @@ def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     sketch = work.write(sketches(spark, texts.withColumn("row", F.monotonically_increasing_id()), width), "sketch")
     rows = sketch.where("kind = 0")
     classes = work.write(
-        rows.where("n > 0").groupBy(F.col("d1").alias("c"), "d2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINHASHES)]), "classes"
+        rows.where("n > 0").groupBy(F.col("d1").alias("c"), "d2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINHASHES)], *[F.min(b).alias(b) for b in MAP]), "classes"
     )
     # 2: the least class that shares a min-hash
     mins = classes.select("c", "n", F.posexplode(F.array(*[f"m{i}" for i in range(MINHASHES)])).alias("i", "m"))
@@ -340,7 +353,7 @@ def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     near = mins.join(lead, (F.col("i") == F.col("i2")) & (F.col("m") == F.col("m2"))).where(f"c <> b and least(n, n2) * 100 >= greatest(n, n2) * {percent}")
     early = confirmed(spark, work, texts, near.select(F.col("c").alias("a"), "b"), width, percent, "early")
     first = components(work, early, "first")
-    roots = work.write(classes.join(first, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("root", "c").alias("root")), "roots")
+    roots = work.write(classes.join(first, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("root", "c").alias("root"), *MAP), "roots")
     # 3 and 4
     often = sketch.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "d1").limit(TOP).toPandas()
     order = np.argsort(often["d1"].to_numpy(np.int64).view(np.uint64))
