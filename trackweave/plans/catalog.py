@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.plans import diagnostics, sql
+from trackweave.plans import diagnostics, refine, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(diagnostics.QUERIES)
+    return diagnostics.QUERIES | refine.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
