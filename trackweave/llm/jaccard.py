@@ -376,7 +376,8 @@ def representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     members = membership(spark, docs, id_col, text_col, width, percent).where("doc_id is null or doc_id = component")
     stay = members.where("doc_id is null").select("row").unionAll(members.where("doc_id is not null").groupBy("component").agg(F.min("row").alias("row")).select("row"))
     own = docs.withColumn("tw_row", F.monotonically_increasing_id())
-    return own.join(stay, F.col("tw_row") == F.col("row"), "left_semi").drop("tw_row")
+    stay = stay.withColumnRenamed("row", "tw_stay")
+    return own.join(stay, F.col("tw_row") == F.col("tw_stay"), "left_semi").drop("tw_row")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

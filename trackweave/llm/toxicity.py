@@ -27,7 +27,7 @@ from trackweave.llm.common import WordHasher, batches, held_out, logistic, mix,
 WINDOW, STRIDE = 32, 24
 WORD, CHAR, HIDDEN, ATTEND = 8, 6, 8, 8
 VOCABULARY, TRIGRAMS = 8192, 4096
-SAMPLE, LONG, ROUNDS, BATCH, RATE = {1: 1500, 0: 2500}, 40_000, 5, 128, 0.01
+SAMPLE, LONG, ROUNDS, STEPS, BATCH, RATE = {1: 1500, 0: 2500}, 40_000, 5, 200, 128, 0.01
 
 
 def trigrams(hasher: WordHasher, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +190,9 @@ def train(texts: list[str], y: np.ndarray) -> Network | float:
     lift = np.concatenate([[0], np.cumsum(np.maximum(net.p["E"][ids, 0], 0) ** 2)])
     value = (lift[first + size] - lift[first]).astype(np.float32)  # the first choice of windows
     mean, var = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
-    step = 0
-    for turn in range(ROUNDS):
+    step, a_round = 0, -(-(len(y) + int((y == 0).sum())) // BATCH)
+    rounds = max(ROUNDS, -(-STEPS // a_round))  # few texts are read more often
+    for _ in range(rounds):
         best = np.array([edges[i] + int(np.argmax(value[edges[i] : edges[i + 1]])) for i in range(len(y))])
         clean = np.flatnonzero(y == 0)
         other = edges[clean] + (rng.random(len(clean)) * (edges[clean + 1] - edges[clean])).astype(np.int64)
@@ -218,7 +219,7 @@ def train(texts: list[str], y: np.ndarray) -> Network | float:
                 g = np.clip(g, -1, 1)
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 var[k] = 0.99 * var[k] + 0.01 * g * g
-                net.p[k] = (net.p[k] - RATE / (1 + turn) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                net.p[k] = (net.p[k] - RATE / (1 + ROUNDS * step / (rounds * a_round)) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         value = net.logits(hasher, hashes, at)[0]
     top, many = tops(value, text, len(y))
     net.calibration = logistic(np.stack([top, np.log(many)], 1).astype(float), y.astype(float), ridge=0.1)
