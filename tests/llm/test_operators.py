@@ -203,8 +203,8 @@ def test_gradients():
 
 
 def test_toxicity_held_out_and_odd_texts():
-    texts = dict(zip(*(pq.read_table("/root/testdata/sf0.01/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
-    labels = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()
+    texts = dict(zip(*(pq.read_table("/root/testdata/sf0.1/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    labels = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()[::2]
     fold = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5
     fit, rest = [r for r in labels if fold(r)], [r for r in labels if not fold(r)]
     net = toxicity.train([texts[r["doc_id"]] for r in fit], np.array([r["toxic"] for r in fit]))

@@ -174,17 +174,19 @@ def train(texts: list[str], y: np.ndarray) -> Network | float:
     hasher, rng = WordHasher(plain=True), np.random.default_rng(5)
     hashes, at = hasher(pa.array(texts, pa.string()))
     owner = np.repeat(np.arange(len(y)), np.diff(at))
-    seen = np.unique(np.stack([hashes, owner.astype(np.uint64)], 1), axis=0)
-    word, where = np.unique(seen[:, 0], return_inverse=True)
-    has = np.bincount(where, minlength=len(word))
-    bad = np.bincount(where, weights=y[seen[:, 1].astype(np.int64)], minlength=len(word))
+    word, where = np.unique(hashes, return_inverse=True)
+    seen = np.unique(where.astype(np.int64) * len(y) + owner)  # (word, text)
+    has = np.bincount(seen // len(y), minlength=len(word))
+    bad = np.bincount(seen // len(y), weights=y[seen % len(y)], minlength=len(word))
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((has - bad + 0.5) / (len(y) - y.sum() + 1))
     often = np.flatnonzero(has >= 3)
     often = often[np.argsort(-np.abs(odds[often]) * np.sqrt(has[often]), kind="stable")[:VOCABULARY]]
     often = often[np.argsort(word[often])]
     net = Network(word[often], odds[often])
     ids = net.words(hashes)
-    buckets, starts = trigrams(hasher, 0, len(hashes))
+    # by pieces, in 16 bits: the whole sample's trigrams are many
+    buckets = np.concatenate([np.zeros(0, np.uint16), *(trigrams(hasher, k, min(k + 50_000, len(hashes)))[0].astype(np.uint16) for k in range(0, len(hashes), 50_000))])
+    starts = np.concatenate([[0], np.cumsum(hasher.stops - hasher.starts)])
     first, size, text = window_rows(at)
     edges = np.concatenate([np.searchsorted(text, np.arange(len(y))), [len(text)]])
     lift = np.concatenate([[0], np.cumsum(np.maximum(net.p["E"][ids, 0], 0) ** 2)])
@@ -229,7 +231,9 @@ def train(texts: list[str], y: np.ndarray) -> Network | float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: dict[int, int] = SAMPLE, folds: int = 5, fold: int = 0) -> Network | float:  # noqa: B006
     rows = sampled(docs.select(id_col, text_col).where(F.length(text_col) <= LONG), labels, id_col, label, sample, folds, fold).select(text_col, "tw_label").toPandas()
     rows = rows.sort_values([text_col, "tw_label"])
-    return train(rows[text_col].tolist(), rows["tw_label"].to_numpy(float))
+    texts, y = rows[text_col].tolist(), rows["tw_label"].to_numpy(float)
+    del rows
+    return train(texts, y)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Network | float, text_col: str = "text") -> DataFrame:
