@@ -4,11 +4,12 @@ A text's set holds 64-bit hashes of its distinct word shingles. One order of all
 prefix so long that two sets which link share a prefix shingle. The steps:
 
 1. Equal sets become one class, known by a 128-bit digest of the set (64 bits of it name the class).
-2. Min-hashes offer each class the least class that shares one; pairs that pass the exact test join classes early. This only saves
-   later work: it links nothing that step 4 would not.
-3. Prefix shingles that at least two classes hold form lists. In a list, classes with the same prefix and size are one group; pairs
-   of groups pass a size and a position filter; survivors expand to members, without pairs already joined; bitmaps of parities, which
-   bound how far two sets differ, drop most pairs that do not link. Long lists are cut into blocks, and pairs of blocks are dealt to tasks.
+2. Prefix shingles that at least two classes hold form lists. A first pass over them is cheap: in each list the classes stand in an order of
+   their own, by a hash of class and shingle, and only neighbours are tested. A group of near copies shares many lists, so that this
+   joins most of it with a few tests for each member. It only saves later work: it links nothing that step 3 would not.
+3. All pairs of a list: classes with the same prefix and size are one group; pairs of groups pass a size and a position filter; survivors expand
+   to members, without pairs already joined; bitmaps of parities, which bound how far two sets differ, drop most pairs that do not
+   link. Long lists are cut into blocks, and pairs of blocks are dealt to tasks.
 4. The exact test: 100 * intersection >= threshold * union over whole sets.
 
 The order needs counts only roughly: shingles that occur in COMMON_LOCAL sets of a block of a task are summed over all tasks, and the
@@ -34,7 +35,6 @@ from trackweave.llm.common import Workspace, WordHasher, batches, mix, signed
 from trackweave.llm.components import components
 
 WIDTH, PERCENT = 5, 80
-MINHASHES = 4
 COMMON_LOCAL, COMMON_LEAST, TOP, BLOCK = 3, 16, 200_000, 2_000_000
 LIST, BITS, BITMAP = 2048, 24, 8
 MAP = [f"b{i}" for i in range(BITMAP)]
@@ -74,14 +74,6 @@ def digests(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return mix(sums(mix(sets ^ np.uint64(0xA0761D6478BD642F)), at)), mix(sums(mix(sets ^ np.uint64(0xE7037ED1A0B428DB)), at))
 
 
-def least(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.full(len(at) - 1, np.uint64(2**64 - 1))
-    full = np.flatnonzero(at[1:] > at[:-1])
-    if len(full):
-        out[full] = np.minimum.reduceat(values, at[:-1][full])
-    return out
-
-
 def required(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Least intersection with which sets of these sizes link."""
     return -(-percent * (na + nb) // (100 + percent))
@@ -92,7 +84,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-SKETCH = "kind int, doc_id long, row long, n int, d1 long, d2 long, " + ", ".join([f"m{i} long" for i in range(MINHASHES)] + [f"b{i} long" for i in range(BITMAP)])
+SKETCH = "kind int, doc_id long, row long, n int, d1 long, d2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP))
 
 
 def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -105,29 +97,25 @@ def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
-    """Kind 0: a row for each text with its set's size, digest and min-hashes. Kind 1: shingles (d1) common in a block, with counts (n)."""
+    """Kind 0: a row for each text with its set's size, digest and bitmap. Kind 1: shingles (d1) common in a block, with counts (n)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, block, held = WordHasher(), [], 0
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + MINHASHES + BITMAP)]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + BITMAP)]
         names = [x.split()[0] for x in SKETCH.split(", ")]
 
         def common() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(block), return_counts=True)
             found, times = found[times >= COMMON_LOCAL], times[times >= COMMON_LOCAL]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + MINHASHES + BITMAP)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + BITMAP)], names=names)
 
         for batch in rows:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 sets, at = shingle_sets(hasher, part.column(1), width)
                 d1, d2 = digests(sets, at)
-                mins = []
-                for i in range(MINHASHES):
-                    with np.errstate(over="ignore"):
-                        mins.append(least(mix(sets ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)), at))
-                values = [np.zeros(len(part), np.int32), part.column(0), part.column(2), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, mins), *map(signed, bitmaps(sets, at))]
+                values = [np.zeros(len(part), np.int32), part.column(0), part.column(2), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, bitmaps(sets, at))]
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
                 block.append(sets)
                 held += len(sets)
@@ -298,17 +286,26 @@ def list_pairs(t: np.ndarray, block: np.ndarray, other: np.ndarray, place: np.nd
                     yield np.full(len(rest), c[m]), c[rest]
 
 
-def candidates(work: Workspace, spark: SparkSession, docs: DataFrame, classes: DataFrame, common: np.ndarray, ranks: np.ndarray, width: int, percent: int, total: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a prefix shingle and pass the filters. classes: c, n, root."""
-    least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least_tasks, min(1 << 20, total // 4_000_000))
-    lists = work.write(shared(prefix_rows(spark, docs, common, ranks, width, percent, buckets)), "lists")
+def neighbours(key: np.ndarray, t: np.ndarray, place: np.ndarray, c: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours in lists (key), each in an order of its own, that pass the size, position and bitmap filters."""
+    with np.errstate(over="ignore"):
+        order = np.lexsort((mix(c.view(np.uint64) ^ mix(t.view(np.uint64))), key))
+    x, y = order[:-1], order[1:]
+    need = required(n[x], n[y], percent)
+    fits = (key[x] == key[y]) & (np.minimum(n[x], n[y]) >= need) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need)
+    x, y, need = x[fits], y[fits], need[fits]
+    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+    fits = n[x] + n[y] - 2 * need >= apart
+    return c[x][fits], c[y][fits]
+
+
+def candidates(spark: SparkSession, lists: DataFrame, classes: DataFrame, percent: int, tasks: int, chain: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a prefix shingle and pass the filters: neighbours only (chain), or all. classes: c, n, root."""
     own = classes.select(F.col("c").alias("c2"), "n", "root", *MAP)
     rows = lists.join(own, F.col("c") == F.col("c2")).drop("c2")
     rows = rows.withColumn("block", F.when(F.col("k") > LIST, F.pmod(F.col("c"), F.ceil(F.col("k") / LIST))).otherwise(F.lit(0)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.when(F.col("k") > LIST, F.sequence(F.lit(0), F.ceil(F.col("k") / LIST).cast("int") - 1)).otherwise(F.array(F.lit(0)))))
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    tasks = max(least_tasks, min(1 << 20, total // 4_000_000))
     rows = rows.withColumn("task", F.pmod(F.xxhash64("t", "lo", "hi"), F.lit(tasks)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +322,10 @@ def candidates(work: Workspace, spark: SparkSession, docs: DataFrame, classes: D
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+        if chain:
+            held.append(neighbours(key, x["t"], x["place"].astype(np.int64), x["c"], x["n"].astype(np.int64), bits, percent))
+            yield sent()
+            return
         for pair in list_pairs(key, x["block"], x["other"], x["place"].astype(np.int64), x["c"], x["g"], x["n"].astype(np.int64), x["root"], bits, percent):
             held.append(pair)
             size += len(pair[0])
@@ -345,28 +346,25 @@ def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     sketch = work.write(sketches(spark, texts.withColumn("row", F.monotonically_increasing_id()), width), "sketch")
     rows = sketch.where("kind = 0")
     classes = work.write(
-        rows.where("n > 0").groupBy(F.col("d1").alias("c"), "d2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINHASHES)], *[F.min(b).alias(b) for b in MAP]), "classes"
+        rows.where("n > 0").groupBy(F.col("d1").alias("c"), "d2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in MAP]), "classes"
     )
-    # 2: the least class that shares a min-hash
-    mins = classes.select("c", "n", F.posexplode(F.array(*[f"m{i}" for i in range(MINHASHES)])).alias("i", "m"))
-    lead = work.write(mins.groupBy("i", "m").agg(F.min(F.struct("c", "n")).alias("x"), F.count("*").alias("k")).where("k > 1").select(F.col("i").alias("i2"), F.col("m").alias("m2"), F.col("x.c").alias("b"), F.col("x.n").alias("n2")), "lead")
-    near = mins.join(lead, (F.col("i") == F.col("i2")) & (F.col("m") == F.col("m2"))).where(f"c <> b and least(n, n2) * 100 >= greatest(n, n2) * {percent}")
-    early = confirmed(spark, work, texts, near.select(F.col("c").alias("a"), "b"), width, percent, "early")
-    first = components(work, early, "first")
-    roots = work.write(classes.join(first, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("root", "c").alias("root"), *MAP), "roots")
-    # 3 and 4
     often = sketch.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "d1").limit(TOP).toPandas()
     order = np.argsort(often["d1"].to_numpy(np.int64).view(np.uint64))
     common, ranks = often["d1"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]
     total = int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    late = confirmed(spark, work, texts, candidates(work, spark, texts, roots, common, ranks, width, percent, total), width, percent, "late")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, total // 4_000_000))
+    lists = work.write(shared(prefix_rows(spark, texts, common, ranks, width, percent, tasks)), "lists")
+    early = confirmed(spark, work, texts, candidates(spark, lists, classes.withColumn("root", F.col("c")), percent, tasks, True), width, percent, "early")
+    first = components(work, early, "first")
+    roots = work.write(classes.join(first, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("root", "c").alias("root"), *MAP), "roots")
+    late = confirmed(spark, work, texts, candidates(spark, lists, roots, percent, tasks, False), width, percent, "late")
     # documents that share an id are linked through it
     same = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("a", "b")
     final = components(work, early.unionAll(late).unionAll(same), "final")
     named = classes.join(final, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
     ids = named.groupBy(F.col("root").alias("root2")).agg(F.min("rep").alias("component"))
     named = work.write(named.join(work.write(ids, "ids"), F.col("root") == F.col("root2")).select("c", "component"), "named")
-    work.drop("lists", "lead", "roots", "early-links", "late-links")
+    work.drop("lists", "roots", "early-links", "late-links")
     full = rows.where("n > 0").join(named, F.col("d1") == F.col("c")).select("doc_id", "row", "n", "component")
     return full.unionAll(rows.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component")))
 
