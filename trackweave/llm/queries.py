@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.llm import bpe, decontam, jaccard, lm_score, neardup, quality, secrets, token_counts, toxicity, urlfilter
+from trackweave.llm import bpe, decontam, jaccard, lm_score, neardup, oracle, quality, secrets, token_counts, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urlfilter.OP10_SQL}
+    return oracle.oracle_sql()
