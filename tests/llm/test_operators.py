@@ -45,8 +45,11 @@ def test_jaccard(spark, docs, chains, monkeypatch):
     got = {r.doc_id: (r.n, r.component) for r in jaccard.membership(spark, spark.createDataFrame(docs, SCHEMA)).collect()}
     want = brute.jaccard([d[:2] for d in docs])
     assert got == want and len({c for _, c in want.values()}) < len(docs)
-    stay = jaccard.representatives(spark, spark.createDataFrame([*docs, docs[6], (None, "lone text", 0, "", "")], SCHEMA))
+    again = (docs[3][0], "another text of the same id", -1, None, "x")
+    stay = jaccard.representatives(spark, spark.createDataFrame([*docs, docs[6], again, (None, "lone text", 0, "", ""), (None, None, None, None, None)], SCHEMA))
     assert stay.columns == ["doc_id", "text", "n", "row", "tw_n_words"]
+    rows = {r.doc_id: tuple(r) for r in stay.collect()}
+    assert rows[docs[3][0]] == again and rows[docs[6][0]] == docs[6] and sum(r.doc_id is None for r in stay.collect()) == 2
     assert sorted(r.doc_id for r in stay.collect() if r.doc_id is not None) == sorted({c for _, c in want.values()})
 
 

@@ -84,7 +84,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-SKETCH = "kind int, doc_id long, row long, n int, d1 long, d2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP))
+SKETCH = "kind int, doc_id long, n int, d1 long, d2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP))
 
 
 def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -101,21 +101,21 @@ def sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, block, held = WordHasher(), [], 0
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + BITMAP)]
+        types = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + BITMAP)]
         names = [x.split()[0] for x in SKETCH.split(", ")]
 
         def common() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(block), return_counts=True)
             found, times = found[times >= COMMON_LOCAL], times[times >= COMMON_LOCAL]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + BITMAP)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + BITMAP)], names=names)
 
         for batch in rows:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 sets, at = shingle_sets(hasher, part.column(1), width)
                 d1, d2 = digests(sets, at)
-                values = [np.zeros(len(part), np.int32), part.column(0), part.column(2), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, bitmaps(sets, at))]
+                values = [np.zeros(len(part), np.int32), part.column(0), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, bitmaps(sets, at))]
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
                 block.append(sets)
                 held += len(sets)
@@ -339,11 +339,11 @@ def candidates(spark: SparkSession, lists: DataFrame, classes: DataFrame, percen
 
 
 def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, row, n, component) for each row: set size, and the least id reachable by links, itself included."""
+    """(doc_id, n, component) for each row: set size, and the least id reachable by links, itself included."""
     batches(spark)
     work = Workspace(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    sketch = work.write(sketches(spark, texts.withColumn("row", F.monotonically_increasing_id()), width), "sketch")
+    sketch = work.write(sketches(spark, texts, width), "sketch")
     rows = sketch.where("kind = 0")
     classes = work.write(
         rows.where("n > 0").groupBy(F.col("d1").alias("c"), "d2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in MAP]), "classes"
@@ -365,17 +365,25 @@ def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     ids = named.groupBy(F.col("root").alias("root2")).agg(F.min("rep").alias("component"))
     named = work.write(named.join(work.write(ids, "ids"), F.col("root") == F.col("root2")).select("c", "component"), "named")
     work.drop("lists", "roots", "early-links", "late-links")
-    full = rows.where("n > 0").join(named, F.col("d1") == F.col("c")).select("doc_id", "row", "n", "component")
-    return full.unionAll(rows.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component")))
+    full = rows.where("n > 0").join(named, F.col("d1") == F.col("c")).select("doc_id", "n", "component")
+    return full.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
 
 
 def representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay: of each component the one of least id; of equal ids, or of rows without id, the first row."""
-    members = membership(spark, docs, id_col, text_col, width, percent).where("doc_id is null or doc_id = component")
-    stay = members.where("doc_id is null").select("row").unionAll(members.where("doc_id is not null").groupBy("component").agg(F.min("row").alias("row")).select("row"))
-    own = docs.withColumn("tw_row", F.monotonically_increasing_id())
-    stay = stay.withColumnRenamed("row", "tw_stay")
-    return own.join(stay, F.col("tw_row") == F.col("tw_stay"), "left_semi").drop("tw_row")
+    """The rows of docs that stay: of each component the one of least id, and all rows without id; of rows that share an id the least.
+
+    Rows are named by id alone: numbers given at a scan may differ at the next one, when executors were lost in between.
+    """
+    work = Workspace(spark, "representatives")
+    members = membership(spark, docs, id_col, text_col, width, percent).where("doc_id = component")
+    kept = work.write(members.groupBy(F.col("doc_id").alias("tw_id")).agg(F.count("*").alias("tw_k")), "kept")
+    own = F.col(id_col).cast("long")
+    out = docs.join(kept.where("tw_k = 1"), own == F.col("tw_id"), "left_semi").unionAll(docs.where(own.isNull()))
+    if kept.where("tw_k > 1").head(1):
+        order = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
+        again = docs.join(kept.where("tw_k > 1"), own == F.col("tw_id"), "left_semi").groupBy(own.alias("tw_id"))
+        out = out.unionAll(again.agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("tw_one")).select("tw_one.*"))
+    return out
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
