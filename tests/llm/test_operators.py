@@ -284,3 +284,19 @@ def test_pipeline_on_a_small_scale(spark, tmp_path):
     digest = hashlib.sha256(b"").hexdigest()
     assert all((r.ids_sha256 == digest) == (r.n_tokens == 0) for r in docs.collect())
     assert pq.read_table(str(tmp_path / "encoding")).num_rows == sizes[-1]
+
+
+def test_near_duplicates_in_a_cone(spark, tmp_path):
+    own = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    axis, x = unit(own.standard_normal(64)), own.standard_normal((16000, 64))
+    x[:12000] = 0.75**0.5 * axis + 0.25**0.5 * unit(x[:12000] - x[:12000] @ axis[:, None] * axis)
+    x = unit(x)
+    for i in range(400):  # a partner at cosine 0.905 each
+        side = unit(x[4000 + i] - x[4000 + i] @ x[i] * x[i])
+        x[4000 + i] = 0.905 * x[i] + (1 - 0.905**2) ** 0.5 * side
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}), tmp_path / "e.parquet")
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark, spark.read.parquet(str(tmp_path / "e.parquet"))).collect()}
+    near = x @ x.T >= 0.9
+    top = brute.roots(range(len(x)), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    assert all((got[i].n_links, got[i].component, got[i].kept) == (near[i].sum() - 1, top[i], top[i] == i) for i in range(len(x)))

@@ -1,15 +1,11 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by exact comparison of all pairs, in blocks.
 
-In each pass 62 random hyperplanes give every vector a string of sign bits; vectors are sorted by it, and each is compared with the WINDOW
-before it. Links found (cosine at least the threshold, in double precision) are united across passes into components. All pairs within
-a component are then tested, in blocks of BLOCK by BLOCK, so that a vector's links are counted exactly however many there are: no
-window bounds them. Pairs are never emitted: a window emits a spanning forest, a block emits counts.
+Equal vectors are collapsed first and count by their number. Classes are dealt by hash into blocks of about BLOCK bytes; every two blocks of
+vectors of one length meet in one task, in tiles of TILE by TILE (cosine at least the threshold, in double precision). A task emits the links
+of each vector as a count, and a spanning forest of its links, which are united into components. Pairs are never emitted.
 
-Passes follow the size: a pair at the threshold lies in a window with a probability of about q = (1 - angle / pi) ** log2(n / WINDOW), and
-ceil(3 / q) passes find it with a probability of 0.95; closer pairs, and links that others complete, are found more surely.
-
-Equal vectors are collapsed first and count by their number. Sorting deals ranges of (pass, bits, class), so that equal bits can be cut; a pair
-cut by the end of a range is left to the other passes.
+No link is left to chance, however crowded a region is: the pairs compared grow with the square of the number of classes, the vectors
+dealt with that square divided by the vectors of a block.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own component;
 vectors of different lengths never link; equal rows are linked copies; a null id takes its component's least id and is never kept;
@@ -18,9 +14,6 @@ an empty table gives an empty table; the result has the id and the columns below
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,46 +22,44 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import Workspace, batches
 from trackweave.llm.components import components
 
-THRESHOLD, PLANES, WINDOW, BLOCK, SURE = 0.9, 62, 256, 1024, 3.0
-
+THRESHOLD, BLOCK, TILE = 0.9, 16 << 20, 1024
 
-def passes(n: int, threshold: float) -> int:
-    same = (1 - math.acos(threshold) / math.pi) ** max(1.0, math.log2(max(2, n) / WINDOW))
-    return math.ceil(SURE / same)
 
-
-def unit(blobs: list[bytes]) -> np.ndarray:
-    """Vectors of one length as rows of length 1, in double precision."""
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in double precision."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def planes(seed: int, size: int) -> np.ndarray:
-    return np.random.default_rng([7919, seed, size]).standard_normal((size, PLANES))
-
-
-def keys(x: np.ndarray, seed: int) -> np.ndarray:
-    bits = (x @ planes(seed, x.shape[1]) > 0).astype(np.int64)
-    return bits @ (np.int64(1) << np.arange(PLANES, dtype=np.int64)[::-1])
-
-
-def forest(x: np.ndarray, c: np.ndarray, old: int, threshold: float) -> list[tuple[int, int]]:
-    """Edges that connect what links within WINDOW rows; the first `old` rows were compared with each other before."""
-    root, edges = np.arange(len(c)), []
-    for lo in range(old, len(c), WINDOW):
-        hi, start = min(lo + WINDOW, len(c)), max(0, lo - WINDOW)
-        cos = x[lo:hi] @ x[start:hi].T
-        i, j = np.nonzero(cos >= threshold)
-        near = (j + start < i + lo) & (i + lo - j - start <= WINDOW)
-        i, j = i[near] + lo, j[near] + start
-        for a, b in zip(np.flatnonzero(np.diff(np.concatenate([[-1], i]))), np.flatnonzero(np.diff(np.concatenate([i, [-1]]))) + 1, strict=True):
-            tops = np.unique(root[j[a:b]])
-            edges += [(int(c[i[a]]), int(c[t])) for t in tops]
-            part = root[start:hi]
-            part[np.isin(part, tops)] = tops[0]
-            root[i[a]] = tops[0]
-    return edges
+def united(open_: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what links in a tile (rows a, columns b); root names each row's tree and is brought up to date."""
+    edges = []
+    while True:
+        open_ = open_ & (root[a][:, None] != root[b][None, :])
+        rows = np.flatnonzero(open_.any(axis=1))
+        if not len(rows):
+            return edges
+        for i, j in zip(a[rows], b[open_[rows].argmax(axis=1)], strict=True):
+            if root[i] != root[j]:
+                edges.append((i, j))
+                root[root == root[j]] = root[i]
+
+
+def met(x: np.ndarray, m: np.ndarray, first: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each row, and a spanning forest of them; the first `first` rows meet the others, or, where there are no others, each other."""
+    links, root, edges = np.zeros(len(x), np.int64), np.arange(len(x)), []
+    for lo in range(0, first, TILE):
+        a = np.arange(lo, min(lo + TILE, first))
+        for start in range(first if first < len(x) else lo, len(x), TILE):
+            b = np.arange(start, min(start + TILE, len(x)))
+            near = x[a] @ x[b].T >= threshold
+            if start == lo:
+                near = np.tri(len(a), k=-1, dtype=bool) & near
+            if near.any():
+                links[a] += near @ m[b]
+                links[b] += near.T @ m[a]
+                edges += united(near, a, b, root)
+    return links, edges
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -81,65 +72,34 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     good = rows.where("sound")
     classes = work.write(good.groupBy("c").agg(F.count("*").alias("m"), F.min("id").alias("rep"), F.first("v").alias("v")), "classes")
     n = classes.count()
-    rounds = passes(n, threshold)
-
-    def dealt(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            size = np.array([len(v) for v in batch.column(1).to_pylist()])
-            flat, c = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(0).to_numpy()
-            at = np.concatenate([[0], np.cumsum(size)])
-            for d in np.unique(size):
-                own = np.flatnonzero(size == d)
-                blobs = [flat[at[i] : at[i + 1]].tobytes() for i in own]
-                x = unit(blobs)
-                for p in range(rounds):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, np.int32)), pa.array(np.full(len(own), d, np.int32)), pa.array(keys(x, p)), pa.array(c[own]), pa.array(blobs, pa.binary())], names=["p", "d", "key", "c", "v"])
-
-    def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None
-        for batch in parts:
-            p, d, c, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 0) | (np.diff(d) != 0)]))
-            for lo, hi in zip(cut, [*cut[1:], len(p)], strict=True):
-                x, own, old = unit(v[lo:hi]), c[lo:hi], 0
-                if kept and kept[0] == (p[lo], d[lo]):
-                    x, own, old = np.concatenate([kept[1], x]), np.concatenate([kept[2], own]), len(kept[2])
-                edges = np.array(forest(x, own, old, threshold), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-                kept = ((p[lo], d[lo]), x[-WINDOW:], own[-WINDOW:])
-
-    spread = classes.select("c", "v").mapInArrow(dealt, "p int, d int, key long, c long, v binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * rounds // 200_000)
-    found = spread.repartitionByRange(parts, "p", "d", "key", "c").sortWithinPartitions("p", "d", "key", "c").mapInArrow(windows, "a long, b long")
-    named = components(work, work.write(found, "edges"), "c")
-    # exact counts within components
-    members = work.write(classes.join(named, F.col("c") == F.col("node")).select("c", "m", "rep", "v", "root"), "members")
-    sizes = work.write(members.groupBy("root").agg(F.count("*").alias("k"), F.min("rep").alias("component")).withColumnRenamed("root", "root2"), "sizes")
-    each = members.join(sizes, F.col("root") == F.col("root2")).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+    each = classes.withColumn("d", F.size("v")).withColumn("blocks", F.ceil(F.lit(8.0 * n) * F.col("d") / BLOCK).cast("int"))
     each = each.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     each = each.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
-    each = each.withColumn("task", F.pmod(F.xxhash64("root", "lo", "hi"), F.lit(tasks)))
-
-    def counted(batch_parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batch_parts)).combine_chunks()
-        root, lo, hi, own, c, m = (table[x].to_numpy() for x in ("root", "lo", "hi", "own", "c", "m"))
-        order = np.lexsort((hi, lo, root))
-        same = (root[order][1:] == root[order][:-1]) & (lo[order][1:] == lo[order][:-1]) & (hi[order][1:] == hi[order][:-1])
-        cut = np.flatnonzero(np.concatenate([[True], ~same]))
-        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        at = np.concatenate([[0], np.cumsum(table["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))])
-        for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
-            i = order[a:b]
-            x = unit([flat[at[k] : at[k + 1]].tobytes() for k in i])
-            near = (x @ x.T >= threshold) & ((own[i][:, None] != own[i][None, :]) if lo[i[0]] != hi[i[0]] else ~np.eye(len(i), dtype=bool))
-            yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(near @ m[i])], names=["c", "links"])
-
-    links = each.select("task", "root", "lo", "hi", "own", "c", "m", "v").groupBy("task").applyInArrow(counted, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+
+    def compared(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, lo, c, m, d = (table[x].to_numpy() for x in ("own", "lo", "c", "m", "d"))
+        order = np.argsort(own != lo, kind="stable")
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d[0])
+        links, edges = met(unit(flat[order]), m[order], int((own == lo).sum()), threshold)
+        found, pairs = np.flatnonzero(links), np.array(edges, np.int64).reshape(-1, 2)
+        c = c[order]
+        none = lambda k: pa.nulls(k, pa.int64())
+        return pa.table({
+            "a": pa.concat_arrays([pa.array(c[found]), pa.array(c[pairs[:, 0]])]),
+            "b": pa.concat_arrays([none(len(found)), pa.array(c[pairs[:, 1]])]),
+            "links": pa.concat_arrays([pa.array(links[found]), none(len(pairs))]),
+        })
+
+    found = work.write(each.select("d", "lo", "hi", "own", "c", "m", "v").groupBy("d", "lo", "hi").applyInArrow(compared, "a long, b long, links long"), "found")
+    named = components(work, found.where("b is not null").select("a", "b"), "c")
+    links = found.where("b is null").groupBy(F.col("a").alias("c3")).agg(F.sum("links").alias("links"))
+    members = work.write(classes.select("c", "rep").join(named, F.col("c") == F.col("node")).select("c", "rep", "root"), "members")
+    sizes = work.write(members.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "root2"), "sizes")
     told = members.select("c", "root").join(sizes.select("root2", "component"), F.col("root") == F.col("root2")).select(F.col("c").alias("c2"), "component")
-    told = told.join(links.withColumnRenamed("c", "c3"), F.col("c2") == F.col("c3")).select("c2", "component", "links")
+    told = told.join(links, F.col("c2") == F.col("c3")).select("c2", "component", "links")
     full = work.write(classes.join(told, F.col("c") == F.col("c2"), "left").select(F.col("c").alias("c4"), "m", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "full")
-    work.drop("edges", "members", "sizes", "classes")
+    work.drop("found", "members", "sizes", "classes")
     linked = good.select("id", "c").join(full, F.col("c") == F.col("c4")).select("id", (F.col("m") - 1 + F.col("links")).cast("long").alias("n_links"), "component")
     out = linked.unionAll(rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False))).withColumnRenamed("id", id_col)
