@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.config import Thresholds
-from trackweave.functions.vectors import color_similarity, dot, overlap
+from trackweave.functions.vectors import color_similarity, dot, element_sums, gathered, overlap
 
+BLOCK, TILE = 16384, 1024
 KEPT = ["n", "proto", "proto_up", "proto_lo", "frames"]
 
 
@@ -69,6 +72,38 @@ def top_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
     return pairs.withColumn("tw_rank", F.row_number().over(order)).where(f"tw_rank <= {int(k)} or note is not null").drop("tw_rank")
 
 
+def image_range(specs: DataFrame, crops: DataFrame, size: int) -> DataFrame:
+    """Least, greatest and mean cosine of all images of a spec's two folders, however many: the mean from sums, the others by blocks of both folders."""
+    crops = crops.where("emb is not null")
+    sums = crops.groupBy(F.col("folder").alias("f")).agg(F.count("*").alias("k"), *element_sums("emb", size, "e")).select("f", "k", gathered("e", size).alias("s"))
+    one, two = (sums.withColumnsRenamed({"f": f"folder{i}", "k": f"k{i}", "s": f"s{i}"}) for i in (1, 2))
+    means = specs.distinct().join(one, "folder1").join(two, "folder2").withColumn("mean_sim", dot("s1", "s2") / (F.col("k1").cast("double") * F.col("k2")))
+    s = means.select("spec", "folder1", "folder2", F.ceil(F.col("k1") / BLOCK).alias("n1"), F.ceil(F.col("k2") / BLOCK).alias("n2"))
+
+    def dealt(own: str, other: str) -> DataFrame:
+        """Images of one side, once for each block of the other."""
+        e = s.join(crops.select(F.col("folder").alias(f"folder{own}"), "crop_id", "emb"), f"folder{own}")
+        e = e.withColumn(f"b{own}", F.pmod(F.xxhash64("crop_id"), F.col(f"n{own}"))).withColumn(f"b{other}", F.explode(F.expr(f"sequence(0L, n{other} - 1)")))
+        return e.select("spec", "folder1", "folder2", "b1", "b2", F.lit(int(own)).alias("side"), "emb")
+
+    def compared(key: tuple, table: pa.Table) -> pa.Table:
+        emb = table["emb"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        side = table["side"].to_numpy()
+        x, y = emb[side == 1], emb[side == 2]
+        low, high = [], []
+        for i in range(0, len(x), TILE):
+            for j in range(0, len(y), TILE):
+                sim = x[i : i + TILE] @ y[j : j + TILE].T
+                low.append(sim.min())
+                high.append(sim.max())
+        spec, folder1, folder2 = (k.as_py() for k in key[:3])
+        return pa.table({"spec": [spec] * bool(low), "folder1": pa.array([folder1] * bool(low), pa.int32()), "folder2": pa.array([folder2] * bool(low), pa.int32()), "low": [min(low)] if low else pa.array([], pa.float64()), "high": [max(high)] if low else pa.array([], pa.float64())})
+
+    keys = ["spec", "folder1", "folder2"]
+    ends = dealt("1", "2").unionByName(dealt("2", "1")).groupBy(*keys, "b1", "b2").applyInArrow(compared, "spec string, folder1 int, folder2 int, low double, high double")
+    return ends.groupBy(*keys).agg(F.min("low").alias("min_sim"), F.max("high").alias("max_sim")).join(means.select(*keys, "mean_sim"), keys)
+
+
 def best_other(protos: DataFrame) -> DataFrame:
     """For each track the other track of highest reid + colour (unweighted); ties go to the lower (folder, track)."""
     keys = {"folder": "folder", "local_id": "track"}

@@ -89,9 +89,7 @@ def pairwise_mean_offdiag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairwise_range(spark: SparkSession, sf: str) -> DataFrame:
-    p = pairs.image_pairs(specs(spark), fx.crops(spark, sf)).where("note is null")
-    out = p.groupBy("spec", "folder1", "folder2").agg(F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"), F.avg("sim").alias("mean_sim"))
-    return r6(out, "min_sim", "max_sim", "mean_sim")
+    return r6(pairs.image_range(specs(spark), fx.crops(spark, sf), fx.SIZE), "min_sim", "max_sim", "mean_sim")
 
 
 def duplicate_frames(spark: SparkSession, sf: str) -> DataFrame:
