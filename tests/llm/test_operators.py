@@ -300,3 +300,11 @@ def test_near_duplicates_in_a_cone(spark, tmp_path):
     near = x @ x.T >= 0.9
     top = brute.roots(range(len(x)), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
     assert all((got[i].n_links, got[i].component, got[i].kept) == (near[i].sum() - 1, top[i], top[i] == i) for i in range(len(x)))
+
+
+def test_secrets_beside_what_is_allowed(spark):
+    key, long = "tR7pLq2Xv9Zk4Wm8Yc1Nb6Jd", "9Qw+Zr3Tk7Lp/5Vx8Nc2Hb6Jd4Sg1Fy0Ma"
+    texts = [f"com/services/T024BE7LD/B024BE7LD/{key}", f"/home/user/{key}", f"see /docs/example/{key} end", f"{long}/path/{long}", f"{long}0123456789abcdef01234567+{long}", f"xxxxxx{long}", "/usr/share/docs/library/words/index", "wordsthatarelong/example-words"]
+    got = {r.doc_id: r.text for r in secrets.redacted(secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert all(key[2:-2] not in got[i] and "[SECRET]" in got[i] for i in range(3)) and all(long[3:-3] not in got[i] and "[SECRET]" in got[i] for i in range(3, 6))
+    assert (got[6], got[7]) == (texts[6], texts[7])

@@ -4,7 +4,8 @@ Known formats: a regular expression's matches and the pieces between them (a spl
 code points. Unknown formats: a candidate is a run of key characters; a window slides over it, and the Shannon entropy
 of the window follows from counts that each step changes by one character in and one out. A candidate's class (hex, mixed)
 sets the window and the entropy that a secret has at least; the span reaches from its first to its last such window.
-Candidates on the allow-list, or that overlap a span of a known format, add nothing.
+Spans of known formats, words of a path (three letters or more, up to a slash) and placeholders are cut out of a candidate, and each piece that
+is left is a candidate of its own, unless it is a number, words or dates as a whole; a piece shorter than a window has none.
 
 Defined cases: a null or empty text has no spans (an empty array); equal rows get equal spans; an empty table gives an
 empty table; other columns pass through. Texts are scanned whole.
@@ -12,6 +13,8 @@ empty table; other columns pass through. Texts are scanned whole.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,11 @@ CLASSES = [
 #: Candidates that are no secrets: numbers, words without digits, dates and dashed words, paths, placeholders.
 ALLOWED = [r"^[0-9_=+/-]+$", r"^[A-Za-z_=+/-]+$", r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{0,8}$", r"^/", r"/[a-z]+/", r"(?i)example|placeholder|sample|dummy|x{6}"]
 
+#: Of these, patterns of whole candidates hold for whole pieces; the others name parts, which are cut out: words of a path, placeholders.
+WHOLE = r"^\^.*\$$"
+PARTS = r"(?<![^/])[A-Z]?[a-z]{3,}(?=/)|(?i:example|placeholder|sample|dummy|x{6,})"
+LEAST = 20
+
 
 def found(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs (start, end, match); code points, end exclusive."""
@@ -47,6 +55,22 @@ def found(text: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), zero, step)["out"]).otherwise(zero["out"])
 
 
+def pieces(c: Column, known: Column) -> Column:
+    """What is left of a candidate outside known spans and named parts, where that is at least LEAST long; as structs (start, end, match)."""
+    bounds = lambda s, at: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"))
+    met = F.transform(F.filter(known, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])), lambda s: bounds(s, F.lit(0)))
+    named = F.transform(found(c["match"], PARTS), lambda s: bounds(s, c["start"]))
+    cuts = F.array_sort(F.concat(met, named, F.array(F.struct(c["end"].alias("start"), c["end"].alias("end")))))
+
+    def step(state: Column, s: Column) -> Column:
+        piece = F.struct(state["at"].alias("start"), s["start"].alias("end"), F.substring(c["match"], state["at"] - c["start"] + 1, s["start"] - state["at"]).alias("match"))
+        out = F.when(s["start"] - state["at"] >= LEAST, F.concat(state["out"], F.array(piece))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")
+    return F.aggregate(cuts, F.struct(c["start"].alias("at"), none.alias("out")), step)["out"]
+
+
 def entropic(word: Column, alphabet: str, window: int, least: float) -> Column:
     """First and last window start (from 0) whose entropy is at least `least`; first is -1 if none."""
     weight = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
@@ -84,8 +108,9 @@ def scanned(docs: DataFrame, text_col: str = "text", formats=FORMATS, classes=CL
         out = out.withColumn(f"tw_known{order}", listed(order, *told))
         known.append(f"tw_known{order}")
     out = out.withColumn("tw_known", F.array_sort(F.concat(*known))).withColumn("tw_candidates", found(text, CANDIDATE))
-    free = lambda c: ~F.exists(F.col("tw_known"), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])) & ~_any([c["match"].rlike(p) for p in allowed])
-    out = out.withColumn("tw_candidates", F.filter("tw_candidates", free))
+    whole = [p for p in allowed if re.match(WHOLE, p)]
+    out = out.withColumn("tw_candidates", F.flatten(F.transform("tw_candidates", lambda c: pieces(c, F.col("tw_known")))))
+    out = out.withColumn("tw_candidates", F.filter("tw_candidates", lambda c: ~_any([c["match"].rlike(p) for p in whole])))
 
     def judged(c: Column) -> Column:
         result = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
