@@ -46,11 +46,14 @@ def test_jaccard(spark, docs, chains, monkeypatch):
     want = brute.jaccard([d[:2] for d in docs])
     assert got == want and len({c for _, c in want.values()}) < len(docs)
     again = (docs[3][0], "another text of the same id", -1, None, "x")
-    stay = jaccard.representatives(spark, spark.createDataFrame([*docs, docs[6], again, (None, "lone text", 0, "", ""), (None, None, None, None, None)], SCHEMA))
-    assert stay.columns == ["doc_id", "text", "n", "row", "tw_n_words"]
-    rows = {r.doc_id: tuple(r) for r in stay.collect()}
-    assert rows[docs[3][0]] == again and rows[docs[6][0]] == docs[6] and sum(r.doc_id is None for r in stay.collect()) == 2
-    assert sorted(r.doc_id for r in stay.collect() if r.doc_id is not None) == sorted({c for _, c in want.values()})
+    lone = [(None, "lone text", 0, "", ""), (None, "lone text", 1, "", ""), (None, docs[7][1], 0, "", ""), (None, None, None, None, None)]
+    table = spark.createDataFrame([*docs, (*docs[6][:2], -5, "z", "x"), again, *lone], SCHEMA).withColumnsRenamed({"n": "tw_id", "row": "doc"})
+    stay = jaccard.representatives(spark, table)
+    assert stay.columns == ["doc_id", "text", "tw_id", "doc", "tw_n_words"]
+    kept = [tuple(r) for r in stay.collect()]
+    rest = [r for r in kept if r[0] is not None and r != again]
+    assert again in kept and sum(r[0] is None for r in kept) == 2 and lone[0] in kept and lone[3] in kept
+    assert [r[2:] for r in rest if r[0] == docs[6][0]] == [(-5, "z", "x")] and sorted(r[0] for r in rest) == sorted({c for _, c in want.values()})
 
 
 def test_empty_tables(spark):
@@ -65,7 +68,7 @@ def test_empty_tables(spark):
 
 def test_decontamination(spark, docs):
     items = [(1, docs[7][1][20:150]), (2, None), (3, ""), (4, "w1 W2!"), (4, "w1 W2!"), (5, docs[8][1][3000:3300])]
-    table = spark.createDataFrame(docs, SCHEMA).drop("tw_n_words")
+    table = spark.createDataFrame(docs, SCHEMA)
     got = {r.doc_id: r for r in decontam.contaminated(spark, table, spark.createDataFrame(items, "item_id long, text string")).collect()}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for i, t, *_ in docs:

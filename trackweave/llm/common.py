@@ -23,10 +23,12 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where that is unset, a folder of our own."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _made:
         _made[key] = "file://" + tempfile.mkdtemp(prefix="trackweave-")
@@ -34,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written once to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written once to the shared folder: they cut lineage and survive lost executors.
+
+    An operator drops the tables that its result does not read. Those that the result reads lazily stay, under <name>-<id>, until whoever
+    owns the folder removes them after the result is written; nothing else refers to them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -50,8 +56,24 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(docs: DataFrame, added: list[str], *names: str) -> tuple[DataFrame, list[str]]:
+    """docs, and the columns `names` in it, with room for the columns `added`.
+
+    A column of docs that bears the name of an added one (in any case) stays, as <name>_in, or with more _in where that is taken as well.
+    """
+    taken, moved = {c.lower() for c in [*docs.columns, *added]}, {}
+    for c in docs.columns:
+        if c.lower() in {a.lower() for a in added}:
+            new = c + "_in"
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+            moved[c] = new
+    return docs.toDF(*[moved.get(c, c) for c in docs.columns]), [moved.get(n, n) for n in names]
+
+
 def batches(spark: SparkSession) -> None:
-    """Small Arrow batches: long texts make rows large."""
+    """Small Arrow batches: long texts make rows large. The two settings stay changed in the session, as plans read them when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -160,7 +182,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, label: str, per_class: dict[int, int], folds: int, fold: int) -> DataFrame:
     """Rows of docs, and tw_label, for a bounded sample of labelled ids off the fold: per class the first ids by hash.
 
-    An id with several labels counts with its greatest. At most twice the bound of rows return, however often ids repeat.
+    An id with several labels counts with its greatest, an id with several rows with its least text (and, of these, least other columns).
     """
     own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col, folds, fold))
     own = own.groupBy(F.col(id_col).alias("tw_id")).agg(F.max(label).alias("tw_label"))
@@ -168,7 +190,9 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, label: str, per_cla
     for value, most in per_class.items():
         part = own.where(F.col("tw_label") == value).orderBy(F.xxhash64("tw_id"), "tw_id").limit(most)
         first = part if first is None else first.unionAll(part)
-    return docs.join(F.broadcast(first), F.col(id_col) == F.col("tw_id")).drop("tw_id").limit(2 * sum(per_class.values()))
+    met = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).join(F.broadcast(first), F.col(f"c{docs.columns.index(id_col)}") == F.col("tw_id"))
+    one = met.groupBy("tw_id", "tw_label").agg(F.min(F.struct(*[f"c{i}" for i in range(len(docs.columns))])).alias("one"))
+    return one.select("one.*", "tw_label").toDF(*docs.columns, "tw_label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 30) -> np.ndarray:

@@ -4,22 +4,25 @@ A text's set holds 64-bit hashes of its distinct word shingles. One order of all
 prefix so long that two sets which link share a prefix shingle. The steps:
 
 1. Equal sets become one class, known by a 128-bit digest of the set (64 bits of it name the class).
-2. Prefix shingles that at least two classes hold form lists. A first pass over them is cheap: in each list the classes stand in an order of
-   their own, by a hash of class and shingle, and only neighbours are tested. A group of near copies shares many lists, so that this
-   joins most of it with a few tests for each member. It only saves later work: it links nothing that step 3 would not.
-3. All pairs of a list: classes with the same prefix and size are one group; pairs of groups pass a size and a position filter; survivors expand
+2. Every shingle goes to its bucket with its class, and the number of classes that hold it is counted there, exactly; only shingles
+   that two classes hold return to their classes. The order is by that count, so that shingles of one class alone, which meet nothing, fill prefixes
+   first: most texts without a near copy have nothing else in theirs and drop out. What is left of the prefixes forms lists.
+3. A first pass over lists is cheap: in each list the classes stand in an order of their own, by a hash of class and shingle, and only neighbours
+   are tested. A group of near copies shares many lists, so that this joins most of it with a few tests for each member. It only saves later work: it
+   links nothing that step 4 would not (a test leaves it out); but it does find most links first.
+4. All pairs of a list: classes with the same prefix and size are one group; pairs of groups pass a size and a position filter; survivors expand
    to members, without pairs already joined; bitmaps of parities, which bound how far two sets differ, drop most pairs that do not
    link. Long lists are cut into blocks, and pairs of blocks are dealt to tasks.
-4. The exact test: 100 * intersection >= threshold * union over whole sets.
+5. The exact test: 100 * intersection >= threshold * union over whole sets.
 
-The order needs counts only roughly: shingles that occur in COMMON_LOCAL sets of a block of a task are summed over all tasks, and the
-TOP most frequent of them (a bounded table) go last; any order gives the same links. Set rows are fetched for classes in some
-pair, found by a bit table of fixed size; its false positives cost work, not results.
+Shingles so common that they would fill a bucket (the TOP most frequent of those in COMMON_LOCAL sets of a block of a task, a bounded table) are not sent
+to buckets but go last in the order, by the sum of their local counts; any order gives the same links. Set rows are fetched for classes in some
+pair, found by a bit table sized to their number within fixed bounds; its false positives cost work, not results.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer words than the shingle
-width make one shingle of all words; equal rows are copies; documents that share an id count as linked through it; a null id
+width make one shingle of all words; equal rows are copies; in `membership` documents that share an id count as linked through it, and a null id
 is a document without id, whose component is the least id of its class's component; an empty table gives an empty table; other columns
-pass through.
+pass through `representatives`, whatever their names, and do not reach `membership`.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ from trackweave.llm.components import components
 
 WIDTH, PERCENT = 5, 80
 COMMON_LOCAL, COMMON_LEAST, TOP, BLOCK = 3, 16, 200_000, 2_000_000
-LIST, BITS, BITMAP = 2048, 24, 8
+LIST, BITS, BITMAP, BUCKET = 2048, (20, 27), 8, 4_000_000
+LATE = 1 << 30  # counts of common shingles stand above all others
 MAP = [f"b{i}" for i in range(BITMAP)]
 
 
@@ -84,7 +89,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-SKETCH = "kind int, doc_id long, n int, d1 long, d2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP))
+SKETCH = "kind int, doc_id long, said long, n int, d1 long, d2 long, " + ", ".join(f"b{i} long" for i in range(BITMAP))
 
 
 def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -97,25 +102,25 @@ def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
-    """Kind 0: a row for each text with its set's size, digest and bitmap. Kind 1: shingles (d1) common in a block, with counts (n)."""
+    """docs: doc_id, text, said. Kind 0: a row for each text with its set's size, digest and bitmap. Kind 1: shingles (d1) common in a block, with counts (n)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, block, held = WordHasher(), [], 0
-        types = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + BITMAP)]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + BITMAP)]
         names = [x.split()[0] for x in SKETCH.split(", ")]
 
         def common() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(block), return_counts=True)
             found, times = found[times >= COMMON_LOCAL], times[times >= COMMON_LOCAL]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + BITMAP)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, none, pa.array(times.astype(np.int32)), pa.array(signed(found)), *[none] * (1 + BITMAP)], names=names)
 
         for batch in rows:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 sets, at = shingle_sets(hasher, part.column(1), width)
                 d1, d2 = digests(sets, at)
-                values = [np.zeros(len(part), np.int32), part.column(0), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, bitmaps(sets, at))]
+                values = [np.zeros(len(part), np.int32), part.column(0), part.column(2), np.diff(at).astype(np.int32), signed(d1), signed(d2), *map(signed, bitmaps(sets, at))]
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
                 block.append(sets)
                 held += len(sets)
@@ -129,17 +134,18 @@ def sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
 
 
 def bit_table(ids: DataFrame, column: str) -> np.ndarray:
-    """2**BITS bits; those of all ids are set. What reaches the driver is at most 2**(BITS-6) rows, whatever the input."""
-    word = F.expr(f"shiftrightunsigned(`{column}`, {64 - BITS + 6})").alias("word")
-    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - BITS}) & 63 as int))").alias("mask")
+    """A bit for each id, 16 times as many bits as ids within the powers of two BITS; so many bits / 64 rows reach the driver at most, whatever the input."""
+    bits = min(max(BITS[0], (16 * max(1, ids.count())).bit_length()), BITS[1])
+    word = F.expr(f"shiftrightunsigned(`{column}`, {64 - bits + 6})").alias("word")
+    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))").alias("mask")
     rows = ids.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros(1 << (BITS - 6), np.uint64)
+    table = np.zeros(1 << (bits - 6), np.uint64)
     table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
     return table
 
 
 def in_table(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bit = ids >> np.uint64(64 - BITS)
+    bit = ids >> np.uint64(64 - (len(table).bit_length() - 1 + 6))
     return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -188,30 +194,51 @@ def confirmed(spark: SparkSession, work: Workspace, docs: DataFrame, pairs: Data
     return out
 
 
-def prefix_rows(spark: SparkSession, docs: DataFrame, common: np.ndarray, ranks: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
-    """Prefix shingles of a task's classes, packed by bucket of the shingle: 18 bytes each.
+def shingle_rows(spark: SparkSession, docs: DataFrame, common: np.ndarray, counts: np.ndarray, width: int, buckets: int) -> DataFrame:
+    """All shingles of a task's classes, packed by bucket of the shingle, and by class in it: 4 bytes each, and 12 for each class of a bucket.
 
-    A shingle keeps 32 bits besides its bucket, a group 32 bits; a place stops at 65535. What that confuses are candidates more, not links less.
+    A shingle is named by its bucket and 32 bits. Common ones are not sent to their bucket, where one could fill it: they go by class, with the
+    counts known for them; so does each class's size, in the high half of a name whose count is 0, beside the number of its names.
     """
-    sent = spark.sparkContext.broadcast((common, ranks))
-    names = ["bucket", "tokens", "places", "classes", "groups"]
+    sent = spark.sparkContext.broadcast((common, counts))
+    names = ["bucket", "classes", "runs", "tokens", "names", "times"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (known, rank) = WordHasher(), sent.value
+        hasher, (known, count) = WordHasher(), sent.value
         held, size, seen = [], 0, np.zeros(0, np.uint64)
 
         def packed() -> pa.RecordBatch:
-            token = np.concatenate([x[0] for x in held])
-            count = [len(x[0]) for x in held]
-            place = np.concatenate([np.minimum(np.arange(n), 65535) for n in count]).astype(np.uint16)
-            owner, group = (np.repeat(np.array([x[i] for x in held], np.uint64), count) for i in (1, 2))
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edges))
-            cut = lambda x: pa.array([x[order[edges[i] : edges[i + 1]]].tobytes() for i in full], pa.binary())
-            values = [cut((token >> np.uint64(32)).astype(np.uint32)), cut(place), cut(owner), cut((group >> np.uint64(32)).astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *values], names=names)
+            owner, owners = np.concatenate([x[0] for x in held]), [len(x[0]) for x in held]
+            token = np.concatenate([x[1] for x in held])
+            own = np.concatenate([x[2] + shift for x, shift in zip(held, np.cumsum([0, *owners[:-1]]), strict=True)])
+            name = (token % np.uint64(buckets)) << np.uint64(32) | token >> np.uint64(32)
+            time = np.zeros(len(token), np.int64)
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                time = np.where(known[spot] == token, LATE + np.minimum(count[spot], LATE), 0)
+            n = np.bincount(own, minlength=len(owner))
+            by = np.argsort((name >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+            name, own, time = name[by], own[by], time[by]
+            blobs: dict[str, list] = {x: [] for x in names}
+            plain = np.flatnonzero(time == 0)
+            edges = np.searchsorted(name[plain] >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            for b in np.flatnonzero(np.diff(edges)):
+                x = plain[edges[b] : edges[b + 1]]
+                start = np.flatnonzero(np.concatenate([[True], own[x][1:] != own[x][:-1]]))
+                told = [owner[own[x][start]], np.diff(np.concatenate([start, [len(x)]])).astype(np.uint32), name[x].astype(np.uint32)]
+                for k, v in zip(names, [b, *(t.tobytes() for t in told), b"", b""], strict=True):
+                    blobs[k].append(v)
+            late = np.flatnonzero(time)
+            sizes = n.astype(np.uint64) << np.uint64(32) | distinct(own, name, len(owner)).astype(np.uint64)
+            own, name, time = np.concatenate([own[late], np.arange(len(owner))]), np.concatenate([name[late], sizes]), np.concatenate([time[late], np.zeros(len(owner), np.int64)])
+            to = (owner[own] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[by], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)):
+                x = by[edges[b] : edges[b + 1]]
+                for k, v in zip(names, [b, owner[own[x]].tobytes(), b"", b"", name[x].tobytes(), time[x].astype(np.uint32).tobytes()], strict=True):
+                    blobs[k].append(v)
+            return pa.RecordBatch.from_arrays([pa.array(blobs["bucket"], pa.int32()), *(pa.array(blobs[k], pa.binary()) for k in names[1:])], names=names)
 
         for batch in rows:
             for lo in range(0, len(batch), 500):
@@ -221,44 +248,101 @@ def prefix_rows(spark: SparkSession, docs: DataFrame, common: np.ndarray, ranks:
                 first[np.unique(d1, return_index=True)[1]] = True
                 first &= ~np.isin(d1, seen) & (np.diff(at) > 0)
                 seen = np.concatenate([seen, d1[first]])[-200_000:]
-                late = np.zeros(len(sets), np.int64)
-                if len(known):
-                    spot = np.minimum(np.searchsorted(known, sets), len(known) - 1)
-                    late = np.where(known[spot] == sets, rank[spot], 0)
-                for i in np.flatnonzero(first):
-                    own, last = sets[at[i] : at[i + 1]], late[at[i] : at[i + 1]]
-                    token = (own[np.lexsort((own, last))] if last.any() else own)[: int(prefix_length(np.int64(len(own)), percent))]
-                    with np.errstate(over="ignore"):
-                        group = mix(mix(token).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
-                    held.append((token, d1[i], group))
-                    size += len(token)
+                n = np.diff(at)
+                held.append((d1[first], sets[np.repeat(first, n)], np.repeat(np.arange(first.sum()), n[first])))
+                size += len(held[-1][1])
                 if size >= BLOCK:
                     yield packed()
                     held, size = [], 0
-        if held:
+        if size:
             yield packed()
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, places binary, classes binary, groups binary")
+    return docs.mapInArrow(run, "bucket int, classes binary, runs binary, tokens binary, names binary, times binary")
+
+
+def distinct(own: np.ndarray, name: np.ndarray, n: int) -> np.ndarray:
+    """How many names each class has: fewer than shingles, where two of its shingles share a name."""
+    key = np.sort(mix(own.astype(np.uint64) ^ mix(name)))  # 64 bits of (class, name): told apart as shingles are
+    count = np.bincount(own, minlength=n)
+    if (key[1:] == key[:-1]).any():
+        by = np.lexsort((name, own))
+        again = (own[by][1:] == own[by][:-1]) & (name[by][1:] == name[by][:-1])
+        count -= np.bincount(own[by][1:][again], minlength=n)
+    return count
+
+
+def _joined(parts: list[pa.RecordBatch], column: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for b in parts for x in b.column(column).to_pylist())])
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Prefix shingles that two classes or more hold: (t, place, c, g, k), k: how many classes hold it."""
+def counted(rows: DataFrame, buckets: int) -> DataFrame:
+    """Shingles that two classes or more hold, with how many do, packed by bucket of the class; what was sent by class passes through."""
+    names = ["bucket", "classes", "runs", "names", "times"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in parts if len(b)]
-        get = lambda i, kind: np.concatenate([np.frombuffer(x, kind) for b in parts for x in b.column(i).to_pylist()])
-        bucket, token, owner = np.uint64(parts[0].column(0)[0].as_py()), get(1, np.uint32), get(3, np.uint64)
-        order = np.lexsort((owner, token))
-        order = order[np.concatenate([[True], (np.diff(token[order]) != 0) | (owner[order][1:] != owner[order][:-1])])]
-        start = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) != 0]))
-        times = np.diff(np.concatenate([start, [len(order)]]))
+        bucket = np.uint64(parts[0].column("bucket")[0].as_py())
+        passing = [pc.equal(pc.binary_length(b.column("tokens")), 0) for b in parts]
+        by_token, by_class = ([b.filter(pc.invert(p)) for b, p in zip(parts, passing, strict=True)], [b.filter(p) for b, p in zip(parts, passing, strict=True)])
+        owner, own = np.unique(_joined(by_token, "classes", np.uint64), return_inverse=True)
+        own = np.repeat(own.astype(np.uint64), _joined(by_token, "runs", np.uint32))
+        key = np.unique(_joined(by_token, "tokens", np.uint32).astype(np.uint64) << np.uint64(32) | own)
+        token = key >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([start, [len(key)]])).astype(np.int64)
         times = np.repeat(times, times)
-        keep, times = order[times > 1], times[times > 1].astype(np.int64)
-        out = [signed(bucket << np.uint64(32) | token[keep].astype(np.uint64)), get(2, np.uint16)[keep].astype(np.int32), signed(owner[keep]), get(4, np.uint32)[keep].astype(np.int64), times]
-        for lo in range(0, len(keep), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in out], names=["t", "place", "c", "g", "k"])
+        keep = np.flatnonzero(times > 1)
+        classes = np.concatenate([owner[(key[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)], _joined(by_class, "classes", np.uint64)])
+        name = np.concatenate([bucket << np.uint64(32) | token[keep], _joined(by_class, "names", np.uint64)])
+        times = np.concatenate([times[keep].astype(np.uint32), _joined(by_class, "times", np.uint32)])
+        to = (classes >> np.uint64(20)) % np.uint64(buckets)
+        by = np.lexsort((classes, to))
+        classes, name, times, to = classes[by], name[by], times[by], to[by]
+        edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
+        blobs: list[list] = [[] for _ in names]
+        for b in np.flatnonzero(np.diff(edges)):
+            x = slice(edges[b], edges[b + 1])
+            first = np.flatnonzero(np.concatenate([[True], classes[x][1:] != classes[x][:-1]]))
+            told = [classes[x][first], np.diff(np.concatenate([first, [edges[b + 1] - edges[b]]])).astype(np.uint32), name[x], times[x]]
+            for out, v in zip(blobs, [b, *(t.tobytes() for t in told)], strict=True):
+                out.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(blobs[0], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs[1:])], names=names)
+
+    return rows.groupBy("bucket").applyInArrow(run, "bucket int, classes binary, runs binary, names binary, times binary")
+
+
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(t, place, c, g, n): of each class the shingles of its prefix that others hold too.
+
+    The order is by the number of classes that hold a shingle. Those of one class alone come first and fill prefixes for nothing: a class whose
+    prefix they fill links with none, and drops out here. g names a prefix and size.
+    """
 
-    return rows.groupBy("bucket").applyInArrow(run, "t long, place int, c long, g long, k long")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in parts if len(b)]
+        owner, own = np.unique(_joined(parts, "classes", np.uint64), return_inverse=True)
+        own = np.repeat(own, _joined(parts, "runs", np.uint32))
+        name, times = _joined(parts, "names", np.uint64), _joined(parts, "times", np.uint32)
+        whole = times == 0
+        n, held = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        n[own[whole]], held[own[whole]] = (name[whole] >> np.uint64(32)).astype(np.int64), (name[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        own, name, times = own[~whole], name[~whole], times[~whole]
+        by = np.lexsort((name, times, own))  # a class sent by several tasks has its common shingles several times, beside each other
+        own, name = own[by], name[by]
+        once = np.concatenate([[True], (own[1:] != own[:-1]) | (name[1:] != name[:-1])]) if len(own) else np.zeros(0, bool)
+        own, name = own[once], name[once]
+        shared = np.bincount(own, minlength=len(owner))
+        place = np.arange(len(own)) - np.repeat(np.cumsum(shared) - shared, shared) + (held - shared)[own]
+        keep = place < prefix_length(n, percent)[own]
+        own, name, place = own[keep], name[keep], place[keep]
+        edge = np.searchsorted(own, np.arange(len(owner) + 1))
+        with np.errstate(over="ignore"):
+            group = mix(sums(mix(name), edge) + (n << 32 | held - shared).astype(np.uint64))
+        out = [signed(name), place.astype(np.int32), signed(owner[own]), (group[own] >> np.uint64(32)).astype(np.int64), n[own].astype(np.int32)]
+        for lo in range(0, len(own), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in out], names=["t", "place", "c", "g", "n"])
+
+    return rows.groupBy("bucket").applyInArrow(run, "t long, place int, c long, g long, n int")
 
 
 def list_pairs(t: np.ndarray, block: np.ndarray, other: np.ndarray, place: np.ndarray, c: np.ndarray, g: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -300,8 +384,8 @@ def neighbours(key: np.ndarray, t: np.ndarray, place: np.ndarray, c: np.ndarray,
 
 
 def candidates(spark: SparkSession, lists: DataFrame, classes: DataFrame, percent: int, tasks: int, chain: bool) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a prefix shingle and pass the filters: neighbours only (chain), or all. classes: c, n, root."""
-    own = classes.select(F.col("c").alias("c2"), "n", "root", *MAP)
+    """Pairs (a, b) of classes of different components that share a prefix shingle and pass the filters: neighbours only (chain), or all. lists: t, place, c, g, n, k (how many hold t). classes: c, root."""
+    own = classes.select(F.col("c").alias("c2"), "root", *MAP)
     rows = lists.join(own, F.col("c") == F.col("c2")).drop("c2")
     rows = rows.withColumn("block", F.when(F.col("k") > LIST, F.pmod(F.col("c"), F.ceil(F.col("k") / LIST))).otherwise(F.lit(0)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.when(F.col("k") > LIST, F.sequence(F.lit(0), F.ceil(F.col("k") / LIST).cast("int") - 1)).otherwise(F.array(F.lit(0)))))
@@ -338,11 +422,10 @@ def candidates(spark: SparkSession, lists: DataFrame, classes: DataFrame, percen
     return rows.select("task", "t", "lo", "hi", "block", "other", "place", "c", "g", "n", "root", *MAP).groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, component) for each row: set size, and the least id reachable by links, itself included."""
+def resolved(spark: SparkSession, work: Workspace, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, said: hash of the text, n, d1) of docs, the classes (c, rep), and edges (a, b) that connect the classes that link."""
     batches(spark)
-    work = Workspace(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("said", F.xxhash64("text"))
     sketch = work.write(sketches(spark, texts, width), "sketch")
     rows = sketch.where("kind = 0")
     classes = work.write(
@@ -350,40 +433,62 @@ def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     )
     often = sketch.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "d1").limit(TOP).toPandas()
     order = np.argsort(often["d1"].to_numpy(np.int64).view(np.uint64))
-    common, ranks = often["d1"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]
+    common, counts = often["d1"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]
     total = int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, total // 4_000_000))
-    lists = work.write(shared(prefix_rows(spark, texts, common, ranks, width, percent, tasks)), "lists")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, total // BUCKET))
+    rare = work.write(prefixes(counted(shingle_rows(spark, texts, common, counts, width, tasks), tasks), percent), "prefixes")
+    held = rare.groupBy(F.col("t").alias("t2")).agg(F.count("*").alias("k")).where("k > 1")
+    lists = work.write(rare.join(held, F.col("t") == F.col("t2")).drop("t2"), "lists")
+    work.drop("prefixes")
     early = confirmed(spark, work, texts, candidates(spark, lists, classes.withColumn("root", F.col("c")), percent, tasks, True), width, percent, "early")
     first = components(work, early, "first")
-    roots = work.write(classes.join(first, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("root", "c").alias("root"), *MAP), "roots")
+    roots = work.write(classes.join(first, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), *MAP), "roots")
     late = confirmed(spark, work, texts, candidates(spark, lists, roots, percent, tasks, False), width, percent, "late")
+    work.drop("lists", "roots")
+    return rows.select("doc_id", "said", "n", "d1"), classes.select("c", "rep"), early.unionAll(late)
+
+
+def membership(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, component) for each row: set size, and the least id reachable by links, itself included."""
+    work = Workspace(spark, "jaccard")
+    rows, classes, links = resolved(spark, work, docs, id_col, text_col, width, percent)
     # documents that share an id are linked through it
     same = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("a", "b")
-    final = components(work, early.unionAll(late).unionAll(same), "final")
-    named = classes.join(final, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
-    ids = named.groupBy(F.col("root").alias("root2")).agg(F.min("rep").alias("component"))
-    named = work.write(named.join(work.write(ids, "ids"), F.col("root") == F.col("root2")).select("c", "component"), "named")
-    work.drop("lists", "roots", "early-links", "late-links")
-    full = rows.where("n > 0").join(named, F.col("d1") == F.col("c")).select("doc_id", "n", "component")
+    final = components(work, links.unionAll(same), "final")
+    named = work.write(classes.join(final, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("root", "c").alias("root")), "roots")
+    ids = work.write(named.groupBy(F.col("root").alias("root2")).agg(F.min("rep").alias("component")), "ids")
+    told = work.write(named.join(ids, F.col("root") == F.col("root2")).select("c", "component"), "named")
+    work.drop("classes", "early-links", "late-links", "roots", "ids")
+    full = rows.where("n > 0").join(told, F.col("d1") == F.col("c")).select("doc_id", "n", "component")
     return full.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
 
 
 def representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay: of each component the one of least id, and all rows without id; of rows that share an id the least.
+    """The rows of docs that stay: of each component one of least id (rows without id come after all others), and all rows whose set is empty.
 
-    Rows are named by id alone: numbers given at a scan may differ at the next one, when executors were lost in between.
+    Rows are named by id and text: numbers given at a scan may differ at the next one, when executors were lost in between. So rows that share an
+    id but not a text are judged apart, and of rows that share both (and differ in other columns) the least stays.
     """
     work = Workspace(spark, "representatives")
-    members = membership(spark, docs, id_col, text_col, width, percent).where("doc_id = component")
-    kept = work.write(members.groupBy(F.col("doc_id").alias("tw_id")).agg(F.count("*").alias("tw_k")), "kept")
-    own = F.col(id_col).cast("long")
-    out = docs.join(kept.where("tw_k = 1"), own == F.col("tw_id"), "left_semi").unionAll(docs.where(own.isNull()))
+    rows, classes, links = resolved(spark, work, docs, id_col, text_col, width, percent)
+    final = components(work, links, "final")
+    roots = work.write(classes.join(final, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root")), "roots")
+    best = rows.where("n > 0").groupBy("d1").agg(F.min(F.struct(F.isnull("doc_id").alias("lone"), "doc_id", "said")).alias("one"))
+    best = work.write(best, "best").join(roots, F.col("d1") == F.col("c")).groupBy("root").agg(F.min("one").alias("one")).select("one.*")
+    many = rows.where("n > 0").groupBy(F.col("doc_id").alias("id2"), F.col("said").alias("said2")).count()
+    kept = best.join(many, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("said") == F.col("said2")))
+    kept = work.write(kept.select(F.col("doc_id").alias("tw_id"), F.col("said").alias("tw_said"), F.col("count").alias("tw_k")), "kept")
+    empty = rows.where("n = 0").select(F.col("doc_id").alias("tw_id"), F.col("said").alias("tw_said"), F.lit(1).alias("tw_k")).distinct()
+    work.drop("classes", "early-links", "late-links", "roots", "best")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at, text = plain.columns[docs.columns.index(id_col)], plain.columns[docs.columns.index(text_col)]
+    met = F.col(at).cast("long").eqNullSafe(F.col("tw_id")) & (F.xxhash64(F.col(text)) == F.col("tw_said"))
+    out = plain.join(kept.where("tw_k = 1").unionAll(empty), met, "left_semi")
     if kept.where("tw_k > 1").head(1):
-        order = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
-        again = docs.join(kept.where("tw_k > 1"), own == F.col("tw_id"), "left_semi").groupBy(own.alias("tw_id"))
-        out = out.unionAll(again.agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("tw_one")).select("tw_one.*"))
-    return out
+        order = [c.name for c in plain.schema if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
+        again = plain.join(kept.where("tw_k > 1"), met, "left_semi").groupBy(F.col(at).cast("long").alias("tw_id"), F.xxhash64(F.col(text)).alias("tw_said"))
+        out = out.unionAll(again.agg(F.min_by(F.struct(*plain.columns), F.struct(*order)).alias("tw_one")).select("tw_one.*"))
+    return out.toDF(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
