@@ -157,6 +157,49 @@ def test_language_model(spark, docs):
         assert r.tw_score <= 0
 
 
+def test_score_follows_from_counts_and_not_from_partitions(spark, docs, tmp_path):
+    """Against a plain model: equal up to quantisation (an eighth of a bit each), normalised, and the same for any number of partitions."""
+    words = [[*brute.words(t), 1] for _, t, *_ in docs]
+    grams = [Counter(tuple(w[i : i + d]) for w in words for i in range(len(w) - d + 1)) for d in (1, 2, 3)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    # counts of counts, with what follows a text's end as a word of its own
+    padded = [Counter(tuple([*w, 0, 0][i : i + d]) for w in words for i in range(len(w))) for d in (1, 2, 3)]
+    cut = []
+    for c in padded:
+        one, two = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        cut.append(one / (one + 2 * two) if one and two else 0.75)
+    after = [None, *(Counter(k[:-1] for k in padded[d]) for d in (1, 2))]
+
+    def p(k):
+        if len(k) == 1:
+            return (grams[0][k] + 0.5) / (n + 0.5 * (v + 1))
+        d, above = len(k) - 1, padded[len(k) - 2][k[:-1]]
+        return p(k[1:]) if not above else max(padded[d][k] - cut[d], 0) / above + cut[d] * after[d][k[:-1]] / above * p(k[1:])
+
+    context = next(k for k, c in grams[1].items() if c > 3 and 1 not in k)
+    assert sum(p((*context, w)) for (w,) in grams[0]) + p((*context, "unseen")) == pytest.approx(1, abs=1e-6)
+    table, found = spark.createDataFrame(docs, SCHEMA).withColumnRenamed("row", "TW_score"), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("2", "7", "41"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            model = lm_score.fit(spark, table)
+            rows = lm_score.scored(spark, table, model)
+            found.append({r.doc_id: r.tw_score for r in rows.drop("TW_score_in").collect()})
+            assert rows.columns == ["doc_id", "text", "n", "TW_score_in", "tw_n_words", "tw_n_tokens", "tw_n_known", "tw_base", "tw_score"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    for (i, *_), w in zip(docs, words, strict=True):
+        want = sum(log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+        assert abs(found[0][i] - want) <= 0.03 * len(w) + 1e-9
+    import os
+
+    os.remove(f"{model.folder}/{max(model.filled)}")
+    with pytest.raises(Exception, match="is missing"):
+        lm_score.scored(spark, table, model).drop("TW_score_in").collect()
+
+
 def test_elias_fano():
     for values in ([0], [0, 0, 0], [0, 5, 5, 9, 1000, 10**6], np.cumsum(rng.integers(0, 50, 5000)), np.cumsum(rng.integers(0, 10**6, 3000))):
         values = np.asarray(values)
@@ -166,11 +209,15 @@ def test_elias_fano():
 def test_trie_probabilities_follow_from_counts():
     words = rng.integers(1, 9, 4000).astype(np.uint64) << np.uint64(32)
     columns = lm_score.grams(words, np.array([0, 4000]), 3)
-    shard = {}
-    for name, x in lm_score.trie(columns, np.ones(4000, np.int64), 1).items():
-        level, _, part = name.partition(".")
-        shard.setdefault(level, {})[part] = x if part else x
-    shard = {k: v[""] if "" in v else v for k, v in shard.items()}
+    def nested(levels):
+        out = {}
+        for name, x in levels.items():
+            level, _, part = name.partition(".")
+            out.setdefault(level, {})[part] = x
+        return {k: v[""] if "" in v else v for k, v in out.items()}
+
+    none = np.zeros(0, np.uint64)
+    shard = nested(lm_score.smoothed(nested(lm_score.trie(columns, np.ones(4000, np.int64), 1)), np.full(3, 0.5), none, none, none))
     count, probs, backs = lm_score.look_up(shard, columns)
     one, two = Counter(words.tolist()), Counter(zip(words.tolist(), columns[1].tolist(), strict=True))
     assert (count == [one[w] for w in words.tolist()]).all()

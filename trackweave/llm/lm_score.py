@@ -1,8 +1,8 @@
 """N-gram language model in sharded Elias-Fano tries, and its score of every text.
 
 Counting: each task packs the distinct n-grams of its training tokens, with counts, by shard of the first word; words so common that a
-shard would be uneven are spread by their second word. One task for each shard sorts and adds them up and writes the shard's
-trie to the shared folder, as one file of levels:
+shard would be uneven are spread by their second word. One task for each shard sorts and adds them up and writes its counts to the shared
+folder; when the counts of counts of all shards are known, another writes the shard's trie, as one file of levels:
 
 * level 1: sorted 64-bit word hashes and exact counts;
 * level d > 1: each node's word (32 bits), sorted within its context, and its smoothed probability in 8 bits;
@@ -10,12 +10,14 @@ trie to the shared folder, as one file of levels:
 
 Scoring maps those files into memory. A query finds its context's range by two selects on the pointers and its word by successor search
 within that range. Probabilities interpolate absolute discounting: p(w | context) = max(c - D, 0) / c(context) + D * successors / c(context) *
-p(w | shorter context), down to the add-half estimate of single words. D comes from the shard's counts of counts.
+p(w | shorter context), down to the add-half estimate of single words. D comes from the counts of counts of the whole corpus, one for each level, and
+a common word's count and back-off weight from all its shards, so that a score does not depend on how many shards or partitions there are.
 
 Tokens: lower-cased (A-Z) words, then one end. Words are known by 64-bit hashes (by 32 bits below a context).
 
 What is gathered grows with the corpus: counts are shuffled whole, none is dropped (`least_count` may prune longer n-grams; the query does not).
-What reaches the driver: a row for each shard, and the common words (at most 4 for each shard).
+What reaches the driver: a row for each shard, and the common words (at most 4 for each shard). The tries stay in the shared folder as long as the
+result may be computed; a file that is missing then raises. The folder must be mounted by all machines (it raises if it has another scheme).
 
 Defined cases: a null or empty text is one end token; equal rows get equal scores; without training tokens N = V = 0 and every token
 has probability 1 (0.5 / 0.5); an empty table gives an empty table; other columns pass through.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import Workspace, WordHasher, batches, held_out, mix, signed
+from trackweave.llm.common import Workspace, WordHasher, aside, batches, held_out, mix, signed
 
 ORDER, SHARD_TOKENS, BLOCK = 3, 2_000_000, 2_000_000
 END, PAD = 1, 0
@@ -129,29 +131,45 @@ def trie(columns: list[np.ndarray], counts: np.ndarray, least_count: int) -> dic
     kept = [np.ones(len(firsts[0]), bool)]
     for d in range(1, len(columns)):
         up = np.searchsorted(firsts[d - 1], firsts[d], "right") - 1
-        kept.append(kept[d - 1][up] & (totals[d] >= (least_count if d > 1 else 1)))
+        kept.append(kept[d - 1][up] & (totals[d] >= least_count))
     for d in range(len(columns)):
         keep = kept[d]
-        node, total = columns[d][firsts[d]][keep], totals[d][keep]
-        levels[f"key{d}"] = node
-        if d == 0:
-            levels["count"] = total
+        levels[f"key{d}"], levels[f"total{d}"] = columns[d][firsts[d]][keep], totals[d][keep]
         if d:
-            up = (np.searchsorted(firsts[d - 1], firsts[d], "right") - 1)[keep]
-            n1, n2 = int((total == 1).sum()), int((total == 2).sum())
-            discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
-            own = (np.cumsum(kept[d - 1]) - 1)[up]
-            parents = int(kept[d - 1].sum())
-            above = totals[d - 1][up].astype(float)
-            levels[f"prob{d}"] = quantised((total - discount) / above)
-            width = np.bincount(own, minlength=parents)
-            mass = np.bincount(own, weights=np.maximum(total - discount, 0), minlength=parents)
-            levels[f"back{d - 1}"] = quantised(np.maximum(1 - mass / np.maximum(1, totals[d - 1][kept[d - 1]]), 2.0**-31))
-            for k, v in ef_build(np.concatenate([[0], np.cumsum(width)])).items():
+            levels[f"once{d}"] = np.array([(totals[d] == 1).sum(), (totals[d] == 2).sum()])
+            own = (np.cumsum(kept[d - 1]) - 1)[(np.searchsorted(firsts[d - 1], firsts[d], "right") - 1)[keep]]
+            for k, v in ef_build(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=int(kept[d - 1].sum())))])).items():
                 levels[f"ptr{d - 1}.{k}"] = v
     return levels
 
 
+def smoothed(levels: dict, discounts: np.ndarray, common: np.ndarray, common_totals: np.ndarray, common_backs: np.ndarray) -> dict[str, np.ndarray]:
+    """A shard's levels with probabilities and back-off weights instead of counts: what they are follows from counts over the whole corpus.
+
+    Of a common word, spread over shards, the count and the back-off weight are given: those of all shards.
+    """
+    order = sum(k.startswith("key") for k in levels)
+    out = {"count": levels["total0"].copy()}
+    spot = np.flatnonzero(np.isin(levels["key0"], common))
+    given = np.searchsorted(common, levels["key0"][spot])
+    out["count"][spot] = common_totals[given]
+    for d in range(order):
+        out[f"key{d}"] = levels[f"key{d}"]
+        if d:
+            pointers = levels[f"ptr{d - 1}"]
+            edges = ef_get(pointers, np.arange(len(levels[f"key{d - 1}"]) + 1))
+            own = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            above = out["count"] if d == 1 else levels[f"total{d - 1}"]
+            rest = levels[f"total{d}"] - discounts[d]
+            out[f"prob{d}"] = quantised(rest / above[own])
+            back = quantised(1 - np.bincount(own, weights=rest, minlength=len(above)) / above)
+            if d == 1:
+                back[spot] = common_backs[given]
+            out[f"back{d - 1}"] = back
+            out |= {f"ptr{d - 1}.{k}": v for k, v in pointers.items()}
+    return out
+
+
 def write_levels(path: str, levels: dict[str, np.ndarray]) -> None:
     """One file; it takes its name when it is whole, so that a repeated task is harmless."""
     at, head, parts = 0, {}, []
@@ -238,10 +256,20 @@ def shard_of(columns: list[np.ndarray], common: np.ndarray, shards: int) -> np.n
 
 
 class Model:
-    """Where the shards are, and the totals."""
+    """Where the shards are, which of them hold anything, the common words with counts and quantised back-off weights, and the totals."""
+
+    def __init__(self, folder: str, shards: int, filled: np.ndarray, common: np.ndarray, common_counts: np.ndarray, common_backs: np.ndarray, n: int, v: int, order: int):
+        self.folder, self.shards, self.filled = folder, shards, set(filled.tolist())
+        self.common, self.common_counts, self.common_backs, self.n, self.v, self.order = common, common_counts, common_backs, n, v, order
 
-    def __init__(self, folder: str, shards: int, common: np.ndarray, common_counts: np.ndarray, common_backs: np.ndarray, n: int, v: int, order: int):
-        self.folder, self.shards, self.common, self.common_counts, self.common_backs, self.n, self.v, self.order = folder, shards, common, common_counts, common_backs, n, v, order
+    def shard(self, s: int) -> dict | None:
+        """The levels of a shard; None if no n-gram fell there. A file that was written and is gone is an error, not an empty shard."""
+        if s not in self.filled:
+            return None
+        try:
+            return map_levels(f"{self.folder}/{s}")
+        except FileNotFoundError as e:
+            raise FileNotFoundError(f"shard {s} of the language model is missing in {self.folder}: fit the model again") from e
 
 
 def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int = ORDER, least_count: int = 1) -> Model:
@@ -314,22 +342,41 @@ def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int
         get = lambda i, kind: np.concatenate([np.frombuffer(x, kind) for b in parts for x in b.column(i).to_pylist()])
         shard = parts[0].column(0)[0].as_py()
         levels = trie([np.repeat(get(1, np.uint64), get(2, np.uint32)), *(get(d + 2, np.uint32) for d in range(1, order))], get(order + 2, np.uint32), least_count)
-        os.makedirs(f"{folder}/trie", exist_ok=True)
-        write_levels(f"{folder}/trie/{shard}", levels)
-        spot = np.isin(levels["key0"], sent.value)
-        kept = np.flatnonzero(spot)
+        os.makedirs(f"{folder}/counts", exist_ok=True)
+        write_levels(f"{folder}/counts/{shard}", levels)
+        kept = np.flatnonzero(np.isin(levels["key0"], sent.value))
         ptr = {k.partition(".")[2]: v for k, v in levels.items() if k.startswith("ptr0.")}
-        back = LEVELS_OF_Q[levels["back0"][kept]] * levels["count"][kept] if len(kept) else np.zeros(0)
-        assert ptr
-        own = [np.concatenate([[0], signed(levels["key0"][kept])]), np.concatenate([[len(spot) - len(kept)], levels["count"][kept]]), np.concatenate([[float(levels["count"].sum())], back])]
-        yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1].astype(np.int64)), pa.array(own[2])], names=["w", "n", "x"])
+        lo, hi = ef_get(ptr, kept), ef_get(ptr, kept + 1)
+        mass = np.concatenate([[0], np.cumsum(levels["total1"])])
+        rows = [("shard", shard, len(levels["key0"]) - len(kept), int(levels["total0"].sum()))]
+        rows += [("once", d, *map(int, levels[f"once{d}"])) for d in range(1, order)]
+        rows += [("common", w, int(hi[i] - lo[i]), int(mass[hi[i]] - mass[lo[i]])) for i, w in enumerate(signed(levels["key0"][kept]).tolist())]
+        rows += [("total", w, int(t), 0) for w, t in zip(signed(levels["key0"][kept]).tolist(), levels["total0"][kept], strict=True)]
+        yield pa.RecordBatch.from_pylist([dict(zip(("kind", "w", "n", "x"), r, strict=True)) for r in rows], schema=pa.schema([("kind", pa.string()), ("w", pa.int64()), ("n", pa.int64()), ("x", pa.int64())]))
+
+    told = work.write(texts.mapInArrow(packed, schema).groupBy("shard").applyInArrow(build, "kind string, w long, n long, x long"), "told")
+    facts = told.groupBy("kind", "w").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toPandas()
+    part = lambda kind: facts[facts["kind"] == kind].sort_values("w", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
+    own, filled = part("common"), part("shard")["w"].to_numpy(np.int64)
+    n, v = int(part("shard")["x"].sum()), int(part("shard")["n"].sum()) + len(own)
+    discounts = np.full(order, 0.75)
+    for d, one, two in part("once")[["w", "n", "x"]].itertuples(index=False):
+        if one and two:
+            discounts[d] = one / (one + 2 * two)
+    words, totals = own["w"].to_numpy(np.int64).view(np.uint64), part("total")["n"].to_numpy(np.int64)
+    backs = quantised(1 - (own["x"].to_numpy(float) - discounts[1] * own["n"].to_numpy(float)) / np.maximum(1, totals))
+
+    def smooth(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(f"{folder}/trie", exist_ok=True)
+        for b in parts:
+            for s in b.column(0).to_pylist():
+                write_levels(f"{folder}/trie/{s}", smoothed(map_levels(f"{folder}/counts/{s}"), discounts, words, totals, backs))
+            yield b
 
-    told = work.write(texts.mapInArrow(packed, schema).groupBy("shard").applyInArrow(build, "w long, n long, x double"), "told")
-    sums = told.groupBy("w").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toPandas()
-    totals, own = sums[sums["w"] == 0], sums[sums["w"] != 0].sort_values("w", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
-    n, v = (int(totals["x"].iloc[0]), int(totals["n"].iloc[0]) + len(own)) if len(totals) else (0, 0)
-    counts = own["n"].to_numpy(np.int64)
-    return Model(f"{folder}/trie", shards, own["w"].to_numpy(np.int64).view(np.uint64), counts, own["x"].to_numpy(float) / np.maximum(1, counts), n, v, order)
+    if len(filled):
+        work.write(told.where("kind = 'shard'").select("w").repartition(len(filled), "w").mapInArrow(smooth, "w long"), "smoothed")
+    work.drop("counts", "census")
+    return Model(f"{folder}/trie", shards, filled, words, totals, LEVELS_OF_Q[backs], n, v, order)
 
 
 def scores(model: Model, shards: dict, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,8 +388,7 @@ def scores(model: Model, shards: dict, words: np.ndarray, at: np.ndarray) -> tup
     edges = np.searchsorted(shard[by], np.arange(model.shards + 1))
     for s in np.flatnonzero(np.diff(edges)):
         if s not in shards:
-            path = f"{model.folder}/{s}"
-            shards[s] = map_levels(path) if os.path.exists(path) else None
+            shards[s] = model.shard(int(s))
         if shards[s] is None:
             continue
         own = by[edges[s] : edges[s + 1]]
@@ -352,10 +398,8 @@ def scores(model: Model, shards: dict, words: np.ndarray, at: np.ndarray) -> tup
     if len(model.common):
         spot = np.minimum(np.searchsorted(model.common, words), len(model.common) - 1)
         often = np.flatnonzero(model.common[spot] == words)
-        total = model.common_counts[spot[often]]
-        prob[1, often] *= count[often] / total  # a shard holds a part of a common word's successors
-        back[1, often] = model.common_backs[spot[often]]
-        count[often] = total
+        back[1, often] = model.common_backs[spot[often]]  # this shard may hold none of a common word's successors
+        count[often] = model.common_counts[spot[often]]
     base = (count + 0.5) / (model.n + 0.5 * (model.v + 1))
     p, place = base.copy(), np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))
     for d in range(1, model.order):
@@ -366,9 +410,10 @@ def scores(model: Model, shards: dict, words: np.ndarray, at: np.ndarray) -> tup
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs, and tw_n_tokens, tw_n_known, tw_base, tw_score."""
+    """All columns of docs, and tw_n_tokens, tw_n_known, tw_base, tw_score (see `aside` for names that clash)."""
     batches(spark)
     fields = [("tw_n_tokens", T.LongType()), ("tw_n_known", T.LongType()), ("tw_base", T.DoubleType()), ("tw_score", T.DoubleType())]
+    docs, (text_col,) = aside(docs, [n for n, _ in fields], text_col)
     schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate([*(f.dataType for f in docs.schema), *(t for _, t in fields)])])
     at_col, sent = docs.columns.index(text_col), spark.sparkContext.broadcast(model)
 
