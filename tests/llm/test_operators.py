@@ -277,12 +277,32 @@ def test_windows_cover_all_words():
 
 def test_quality_views(spark):
     good, junk = [text(80) for _ in range(120)], ["!!! " * 30 + text(3) for _ in range(60)]
-    rows = [(i, t, "s1", "en", None if i % 9 == 0 else len(t)) for i, t in enumerate(good + junk)] + [(500, None, None, None, None)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    rows = [(i, t, "s1", "en", None if i % 9 == 0 else len(t), "x") for i, t in enumerate(good + junk)] + [(500, None, None, None, None, None), (501, "word " * 100_000, "s1", "en", -3, "")]
+    table = spark.createDataFrame(rows + rows[:2] + [(3, "another text", "s1", "en", 5, ""), (None, "x", "s1", "en", 5, "")], "doc_id long, text string, source string, lang string, n_chars long, tw_quality string")
     labels = spark.createDataFrame([(i, int(i < 120)) for i in range(180)] + [(3, 1), (None, 1)], "doc_id long, quality int")
-    got = {r.doc_id: r.tw_quality for r in quality.scored(spark, table, quality.fit(spark, table, labels)).collect()}
-    assert np.mean([got[i] >= 0.5 for i in range(120)]) > 0.95 and np.mean([got[i] < 0.5 for i in range(120, 180)]) > 0.95 and 0 <= got[500] <= 1
+    found = quality.scored(spark, table, quality.fit(spark, table, labels))
+    assert found.columns == ["doc_id", "text", "source", "lang", "n_chars", "tw_quality_in", "tw_quality", "tw_content", "tw_meta"] and found.count() == len(rows) + 4
+    got = {r.doc_id: r.tw_quality for r in found.where("text <> 'another text' or text is null").collect()}
+    assert np.mean([got[i] >= 0.5 for i in range(120)]) > 0.95 and np.mean([got[i] < 0.5 for i in range(120, 180)]) > 0.95 and 0 <= got[500] <= 1 and 0 <= got[501] <= 1
     assert quality.fit(spark, table, labels.where("quality is null")) == 1.0
+    none = table.where("false")
+    assert quality.fit(spark, none, labels) == 1.0 and quality.scored(spark, none, 1.0).count() == 0
+
+
+def test_views_teach_each_other(spark):
+    """Both directions add rows; where metadata alone separates, the model learns it, and the content view, which cannot, does no harm."""
+    own = np.random.default_rng(8)
+    y = own.integers(0, 2, 1500)
+    for way in ("both", "metadata"):
+        words = [" ".join(own.choice(VOCAB[:30] if own.random() < 0.5 or way == "metadata" else VOCAB, 30)) + (" !!!" * 12 if way == "both" and t == 0 and own.random() < 0.9 else "") for t in y]
+        sources = [("web" if own.random() < 0.9 else "book") if t else ("book" if own.random() < 0.9 else "web") for t in y]
+        table = spark.createDataFrame([(i, w, s, "en", len(w)) for i, (w, s) in enumerate(zip(words, sources, strict=True))], "doc_id long, text string, source string, lang string, n_chars long")
+        labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(y[:400])], "doc_id long, quality int")
+        model = quality.fit(spark, table, labels, added=100, rounds=2)
+        got = {r.doc_id: r.tw_quality for r in quality.scored(spark, table, model).collect()}
+        assert np.mean([(got[i] >= 0.5) == (y[i] == 1) for i in range(400, 1500)]) > (0.85 if way == "metadata" else 0.9)
+        told = {k: sum(one + none for _, view, one, none in model.told if view == k) for k in (0, 1)}
+        assert told[1] >= 100 and (way == "metadata" or told[0] >= 100)
 
 
 def test_token_attribution():

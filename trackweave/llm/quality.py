@@ -1,13 +1,18 @@
 """Quality classifier by co-training of two views: a text's content, and its page metadata.
 
 Content view: shares of byte values, and how long, varied and repetitive words, lines and shingles are. Metadata view: hashed source and language,
-and the stated length. Each view has a logistic regression. Over ROUNDS rounds each view labels the pool texts it is surest of, and the other view
-learns from them; then each view is calibrated, and the two combined, on labelled rows that neither learnt from.
+the stated length, and pairs of these. Each view has a logistic regression, calibrated on labelled rows that neither learns from. In each of ROUNDS rounds
+each view looks through all documents for those it is surest of, by class: the ADDED first by how far their calibrated probability lies from the
+labels' share, at least MARGIN in logits. The other view learns from them, with the calibrated probability as a soft label: a view that tells
+little says little. At last the two calibrated views are combined on the rows kept for calibration.
 
-Training sees a bounded sample: at most SAMPLE labelled texts of each label and POOL texts without regard to labels. Scores cover all rows.
+The pool of pseudo-labels is the whole table: the content features of all documents are written once (in half precision, about 0.6 kB each) and read in
+every round, where a task keeps its best ADDED rows of a view and class. Only labelled rows are a bounded sample: at most SAMPLE of each label. Documents of
+equal features count once, and never if a labelled row of the sample has the same.
 
 Defined cases: a null or empty text has the content of an empty one; null metadata is a value of its own; equal rows get equal scores; without
-both labels every score is the labels' share (1 without labels: nothing is rejected); an empty table gives an empty table; other columns pass through.
+both labels every score is the labels' share (1 without labels: nothing is rejected); ties go by a hash of the features; an id with several labels has its
+greatest, one with several rows is learnt from its least row; an empty table gives an empty table; other columns pass through (see `aside` for names that clash).
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import WordHasher, batches, held_out, logistic, mix, sampled, sigmoid
+from trackweave.llm.common import Workspace, WordHasher, aside, batches, held_out, logistic, mix, sampled, sigmoid
 
-SAMPLE, POOL, ROUNDS, ADDED, SURE = {0: 2000, 1: 3000}, 4000, 4, 200, 0.95
-SOURCES, LANGS, REJECT = 64, 16, 0.5
+SAMPLE, ROUNDS, ADDED, MARGIN = {0: 2000, 1: 3000}, 4, 200, 0.5
+SOURCES, LANGS, PAIRS, REJECT = 64, 16, 64, 0.5
 
 
 def text_view(hasher: WordHasher, column: pa.Array) -> np.ndarray:
@@ -60,13 +65,18 @@ def text_view(hasher: WordHasher, column: pa.Array) -> np.ndarray:
 
 def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
     """A row of metadata features for each text."""
-    out = np.zeros((len(source), SOURCES + LANGS + 14))
+    out = np.zeros((len(source), SOURCES + LANGS + PAIRS + 14))
+    known: dict[tuple, tuple] = {}
     for i, (s, g, n) in enumerate(zip(source, lang, n_chars, strict=True)):
-        out[i, zlib.crc32(("" if s is None else "=" + str(s)).encode()) % SOURCES] = 1
-        out[i, SOURCES + zlib.crc32(("" if g is None else "=" + str(g)).encode()) % LANGS] = 1
         x = np.log10(1 + max(0, n)) if n is not None else 0
-        out[i, SOURCES + LANGS + min(11, int(2 * x))] = 1
-        out[i, -2:] = (n is None, x / 3)
+        size = min(11, int(2 * x))
+        if (s, g, size) not in known:
+            told = ["" if v is None else "=" + str(v) for v in (s, g)]
+            place = lambda text, many: zlib.crc32(text.encode()) % many
+            pairs = [place(f"{k} {a} {b}", PAIRS) for k, a, b in ((0, *told), (1, told[0], size), (2, told[1], size))]
+            known[s, g, size] = (place(told[0], SOURCES), SOURCES + place(told[1], LANGS), SOURCES + LANGS + size, *(SOURCES + LANGS + 14 + p for p in pairs))
+        out[i, known[s, g, size]] = 1
+        out[i, SOURCES + LANGS + 12 : SOURCES + LANGS + 14] = (n is None, x / 3)
     return out
 
 
@@ -75,7 +85,7 @@ class Scaled:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean, self.dev = x.mean(0), np.maximum(x.std(0), 1e-3)
-        weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
+        weight = y * 0.5 / max(1e-9, y.mean()) + (1 - y) * 0.5 / max(1e-9, 1 - y.mean())
         self.w, self.calibration = logistic(self.scale(x), y, weight, ridge=5.0), np.array([1.0, 0.0])
 
     def scale(self, x: np.ndarray) -> np.ndarray:
@@ -89,10 +99,10 @@ class Scaled:
 
 
 class CoTrained:
-    """Both views, and how they combine."""
+    """Both views, and how they combine. told: of each round and view, how many rows of class 1 and 0 it labelled for the other."""
 
-    def __init__(self, views: list[Scaled], mix_: np.ndarray):
-        self.views, self.mix = views, mix_
+    def __init__(self, views: list[Scaled], mix_: np.ndarray, told: list[tuple[int, int, int, int]]):
+        self.views, self.mix, self.told = views, mix_, told
 
     def __call__(self, xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined probability of quality, and each view's."""
@@ -100,66 +110,119 @@ class CoTrained:
         return sigmoid(np.stack(logits, 1) @ self.mix[:-1] + self.mix[-1]), sigmoid(logits[0]), sigmoid(logits[1])
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> CoTrained | float:
-    """labelled and pool: the two views' features. A plain share if there are not both labels."""
+def surest(views: list[Scaled], share: float, xs: list[np.ndarray], key: np.ndarray, added: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(view, class, rows, lifts): rows of distinct keys, at most `added` of each, by lift, then key."""
+    out = []
+    for k, view in enumerate(views):
+        lift = view.logit(xs[k]) - np.log(share / (1 - share))
+        for label, far in ((1, lift), (0, -lift)):
+            own = np.flatnonzero(far >= MARGIN)
+            own = own[np.lexsort((key[own], -far[own]))]
+            own = own[np.sort(np.unique(key[own], return_index=True)[1])][:added]
+            out.append((k, label, own, far[own]))
+    return out
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, draw, rounds: int = ROUNDS) -> CoTrained | float:  # noqa: ANN001
+    """labelled: the two views' features. draw(views, share): for each (view, class) the pool's surest rows, as (view, class, both features).
+
+    A plain share if there are not both labels.
+    """
     fit, check = np.arange(len(y)) % 4 != 3, np.arange(len(y)) % 4 == 3
     if min(len(set(y[fit].tolist())), len(set(y[check].tolist()))) < 2:
         return float(y.mean()) if len(y) else 1.0
-    learnt = [([x[fit]], [y[fit]]) for x in labelled]
-    free = np.ones(len(pool[0]), bool)
-    for _ in range(rounds + 1):
+    learnt, told, share = [([x[fit]], [y[fit]]) for x in labelled], [], float(y[check].mean())
+    for done in range(rounds + 1):
         views = [Scaled(np.concatenate(x), np.concatenate(t)) for x, t in learnt]
         for v, x in zip(views, labelled, strict=True):
             v.calibrate(x[check], y[check])
-        if _ == rounds or not free.any():
+        if done == rounds:
+            break
+        count = {}
+        for k, label, xs in draw(views, share):
+            count[k, label] = len(xs[0])
+            learnt[1 - k][0].append(xs[1 - k])
+            learnt[1 - k][1].append(sigmoid(views[k].logit(xs[k])))
+        told += [(done, k, count.get((k, 1), 0), count.get((k, 0), 0)) for k in (0, 1)]
+        if not any(count.values()):
             break
-        for k, other in ((0, 1), (1, 0)):
-            p = sigmoid(views[k].logit(pool[k]))
-            for sure, told in ((p, 1.0), (1 - p, 0.0)):
-                own = np.flatnonzero(free & (sure >= SURE))
-                own = own[np.argsort(-sure[own], kind="stable")[:ADDED]]
-                learnt[other][0].append(pool[other][own])
-                learnt[other][1].append(np.full(len(own), told))
-                free[own] = False
     logits = np.stack([v.logit(x[check]) for v, x in zip(views, labelled, strict=True)], 1)
-    return CoTrained(views, logistic(logits, y[check], ridge=0.5))
+    return CoTrained(views, logistic(logits, y[check], ridge=0.5), told)
 
 
 META = ["source", "lang", "n_chars"]
 
 
-def features(spark: SparkSession, rows: DataFrame, text_col: str) -> DataFrame:
-    """(label, content, meta): both views as bytes. rows: text, the metadata columns, tw_label."""
+def features(docs: DataFrame) -> DataFrame:
+    """docs (id, text, the metadata): id, content (features as bytes), the metadata, key (a hash of all features)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in parts:
             for lo in range(0, len(batch), 500):
                 b = batch.slice(lo, 500)
-                x, m = text_view(hasher, b.column(0)), meta_view(*(b.column(i).to_pylist() for i in (1, 2, 3)))
-                yield pa.RecordBatch.from_arrays([b.column(4), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), pa.array([r.tobytes() for r in m.astype(np.float32)], pa.binary())], names=["label", "content", "meta"])
+                x = text_view(hasher, b.column(1)).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *b.columns[2:]], names=["id", "content", *META])
+
+    schema = T.StructType([T.StructField("id", docs.schema[0].dataType), T.StructField("content", T.BinaryType()), *(T.StructField(c, docs.schema[c].dataType) for c in META)])
+    return docs.mapInArrow(run, schema).withColumn("key", F.xxhash64("content", *META))
+
 
-    return rows.select(text_col, *META, F.col("tw_label").cast("int")).mapInArrow(run, "label int, content binary, meta binary")
+def unpacked(content: list, *meta: list) -> list[np.ndarray]:
+    """Both views of written features."""
+    rows = np.stack([np.frombuffer(x, np.float16) for x in content]).astype(float) if len(content) else np.zeros((0, 1))
+    return [rows, meta_view(*meta)]
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = 5, fold: int = 0, sample: dict[int, int] = SAMPLE, pool: int = POOL) -> CoTrained | float:  # noqa: B006
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = 5, fold: int = 0, sample: dict[int, int] = SAMPLE, added: int = ADDED, rounds: int = ROUNDS) -> CoTrained | float:  # noqa: B006
     batches(spark)
-    own = docs.select(F.col(id_col).alias("doc_id"), text_col, *META)
-    told = features(spark, sampled(own, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", label, sample, folds, fold), text_col).toPandas()
-    told = told.sort_values(["content", "meta"], kind="stable")
-    first = own.select(F.col("doc_id").alias("tw_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("tw_id"), "tw_id").limit(pool)
-    some = own.join(F.broadcast(first), F.col("doc_id") == F.col("tw_id")).limit(2 * pool).withColumn("tw_label", F.lit(0))
-    free = features(spark, some, text_col).toPandas().sort_values(["content", "meta"], kind="stable")
-    rows = lambda d, c: np.stack([np.frombuffer(x, np.float32) for x in d[c]]).astype(float) if len(d) else np.zeros((0, 1))
-    return co_train([rows(told, "content"), rows(told, "meta")], told["label"].to_numpy(float), [rows(free, "content"), rows(free, "meta")])
+    work = Workspace(spark, "quality")
+    pool = work.write(features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *META)), "features")
+    told = sampled(pool, labels.select(F.col(id_col).alias("id"), label), "id", label, sample, folds, fold).toPandas().sort_values(["key", "tw_label"], kind="stable")
+    taken, listed = set(told["key"].tolist()), lambda d: [d[c].tolist() for c in ("content", *META)]
+    names = ["view", "label", "lift", "key", "content", *META]
+    schema = T.StructType([T.StructField("view", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("lift", T.DoubleType()), *(pool.schema[c] for c in names[3:])])
+
+    def draw(views: list[Scaled], share: float) -> Iterator[tuple]:
+        sent = spark.sparkContext.broadcast((views, share, np.sort(np.array(sorted(taken), np.int64))))
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, share, gone = sent.value
+            best: dict[tuple, pa.Table] = {}
+            for b in parts:
+                key = b.column("key").to_numpy()
+                for k, label, rows, far in surest(own, share, unpacked(*(b.column(c).to_pylist() for c in ("content", *META))), key, added + len(gone)):
+                    keep = ~np.isin(key[rows], gone)
+                    found = pa.table({"lift": far[keep], **{c: b.column(c).take(pa.array(rows[keep])) for c in names[3:]}})
+                    met = pa.concat_tables([best[k, label], found]) if (k, label) in best else found
+                    order = np.lexsort((met["key"].to_numpy(), -met["lift"].to_numpy()))
+                    order = order[np.sort(np.unique(met["key"].to_numpy()[order], return_index=True)[1])][:added]
+                    best[k, label] = met.take(pa.array(order))
+            for (k, label), met in best.items():
+                met = pa.table([pa.array([k] * len(met), pa.int32()), pa.array([label] * len(met), pa.int32()), *met.columns], names=names)
+                yield from met.combine_chunks().to_batches()
+
+        found = work.write(pool.mapInArrow(run, schema).dropDuplicates(["view", "label", "key"]), f"round{len(taken)}")
+        for k in (0, 1):
+            for label in (1, 0):
+                rows = found.where((F.col("view") == k) & (F.col("label") == label)).orderBy(F.desc("lift"), "key").limit(added).toPandas()
+                taken.update(rows["key"].tolist())
+                yield k, label, unpacked(*listed(rows)) if len(rows) else [np.zeros((0, x)) for x in widths]
+
+    first = unpacked(*listed(told))
+    widths = [x.shape[1] for x in first]
+    model = co_train(first, told["tw_label"].to_numpy(float), draw, rounds)
+    work.drop(".")
+    return model
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: CoTrained | float, text_col: str = "text") -> DataFrame:
     """All columns of docs, and tw_quality, tw_content, tw_meta: probabilities of quality, combined and by view."""
     batches(spark)
     extra = ["quality", "content", "meta"]
+    docs, (text_col, *meta) = aside(docs, [f"tw_{x}" for x in extra], text_col, *META)
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)), *(T.StructField(x, T.DoubleType()) for x in extra)])
-    text, meta, sent = docs.columns.index(text_col), [docs.columns.index(c) for c in META], spark.sparkContext.broadcast(model)
+    text, meta, sent = docs.columns.index(text_col), [docs.columns.index(c) for c in meta], spark.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = WordHasher(), sent.value
@@ -170,7 +233,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: CoTrained | float, text_
                     out = [np.full(len(b), own)] * 3
                 else:
                     xs = [text_view(hasher, b.column(text)), meta_view(*(b.column(i).to_pylist() for i in meta))]
-                    out = own([x.astype(np.float32).astype(float) for x in xs])
+                    out = own([xs[0].astype(np.float16).astype(float), xs[1]])
                 yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out)], names=schema.names)
 
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema).toDF(*docs.columns, *(f"tw_{x}" for x in extra))
