@@ -1,18 +1,22 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark items.
 
-Texts are normalised to their words (ASCII letters and digits, A-Z lower-cased, and every non-ASCII
-character), joined by one space; a pattern is a window of `width` item words between two spaces. Each
-text is scanned once. Only a text with a match pays for the map from words back to the original text.
+Texts are normalised to their words (runs of ASCII letters and digits, A-Z lower-cased, and non-ASCII characters), known by 64-bit hashes. A window is
+`width` consecutive words of an item (a shorter item is one window). Windows overlap, so that an automaton of all of them would hold each
+word `width` times; it holds anchors instead: blocks of half a window, spaced so that every window contains one, and short items whole. Its
+alphabet is words. Each text is scanned once; where an anchor ends, the windows around it are looked up in a sorted table of window hashes, which
+confirms them and names their items. Only a text with a match pays for the map from words back to its characters.
 
-Defined cases: a null or empty text has no words and no hits; an item without words has no window; an
-item of fewer words than `width` is one window; the same window in several items counts for each of them;
-repeated rows are judged row by row; an empty benchmark hits nothing; extra columns pass through `contaminated`
-untouched. The automaton is broadcast as its windows' text, which `max_bytes` bounds: a larger benchmark
-raises and must be passed in parts.
+The index is made of at most about `max_bytes` of item text: a larger benchmark is dealt into parts by hash, and texts are scanned once for each part,
+the finds of the parts before written to the shared folder in between. Items of any length are cut into pieces that overlap by a window.
+
+Defined cases: a null or empty text has no words and no hits; an item without words has no window; the same window in several items counts
+for each of them, repeated items once; a null item id is the id ''; repeated rows are judged row by row; an empty benchmark hits nothing; an empty table
+gives an empty table; other columns pass through (see `aside` for names that clash).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,102 +25,182 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import batches
-
-#: Word bytes keep themselves, A-Z become a-z, all else becomes a space.
-NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(NORMAL).split()
-
-
-def windows(items: list[tuple[object, str | None]], width: int) -> dict[bytes, list[str]]:
-    """Pattern -> ids (as strings) of the items that hold it."""
-    found: dict[bytes, set[str]] = {}
-    for item, text in items:
-        w = words_of((text or "").encode())
-        for i in range(max(1, len(w) - width + 1) if w else 0):
-            found.setdefault(b" ".join(w[i : i + width]), set()).add("" if item is None else str(item))
-    return {k: sorted(v) for k, v in found.items()}
-
+from trackweave.llm.common import Workspace, WordHasher, aside, batches, mix, text_buffer
 
-def automaton(patterns: dict[bytes, list[str]]):
-    import ahocorasick
+PIECE, MAX_BYTES = 100_000, 32 << 20
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+ADDED = [T.StructField("tw_n_words", T.LongType()), T.StructField("tw_n_hit", T.LongType()), T.StructField("tw_items", T.ArrayType(T.StringType())), T.StructField("tw_spans", SPAN)]
 
-    found = ahocorasick.Automaton()
-    for k, ids in patterns.items():
-        found.add_word(f" {k.decode('latin-1')} ", (k.count(b" ") + 1, ids))
-    if patterns:
-        found.make_automaton()
-    return found
+_built: dict = {}
 
 
-def scan(found, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-    """Which words are inside a window's occurrence, and the ids of items that occur."""
-    text = f" {b' '.join(words).decode('latin-1')} "
-    ends, ids = [], set()
-    for at, (n, own) in found.iter(text):
-        ends.append((at, n))
-        ids.update(own)
-    if not ends:
-        return np.zeros(0, np.int64), ids
-    after = np.cumsum([len(w) + 1 for w in words])  # place of the space after each word
-    last = np.searchsorted(after, [at for at, _ in ends])
-    cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, last - np.array([n for _, n in ends]) + 1, 1)
-    np.add.at(cover, last + 1, -1)
-    return np.flatnonzero(np.cumsum(cover)[:-1] > 0), ids
+def pieces(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
+    """(item, words: hashes as bytes), at most PIECE windows each."""
 
-
-def places(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of hit words as character spans of the original text, end exclusive."""
-    plain = np.frombuffer(text.translate(NORMAL), np.uint8) != 32
-    edge = np.diff(np.concatenate([[0], plain.astype(np.int8), [0]]))
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    char = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-    breaks = np.flatnonzero(np.diff(hit) > 1)
-    runs = zip(hit[np.concatenate([[0], breaks + 1])], hit[np.concatenate([breaks, [len(hit) - 1]])], strict=True)
-    return [(int(char[starts[a]]), int(char[stops[b]])) for a, b in runs]
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(plain=True)
+        for batch in rows:
+            words, at = hasher(batch.column(1))
+            cuts = [(i, a, min(a + PIECE + width - 1, int(at[i + 1]))) for i in range(len(batch)) for a in range(int(at[i]), max(int(at[i]) + 1, int(at[i + 1]) - width + 2), PIECE) if at[i + 1] > at[i]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([c[0] for c in cuts], pa.int64())), pa.array([words[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["item", "words"])
+
+    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_col).mapInArrow(run, "item string, words binary")
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        total = np.full(len(starts), width, np.uint64)
+        for j in range(width):
+            total += words[starts + j] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))
+    return mix(total)
+
+
+class Index:
+    """Windows of some items: anchors for the automaton, and by window length sorted hashes with their items."""
+
+    def __init__(self, rows: list[tuple[str, bytes]], width: int):
+        self.width, self.block = width, (width + 1) // 2
+        self.names = sorted({r[0] for r in rows})
+        number, found, anchors = {x: i for i, x in enumerate(self.names)}, {}, []
+        for item, blob in rows:
+            words = np.frombuffer(blob, np.uint64)
+            n = min(width, len(words))
+            starts = np.arange(len(words) - n + 1)
+            key = window_hashes(words, starts, n)
+            found.setdefault(n, []).append((key, np.full(len(key), number[item], np.int32)))
+            small = self.small(words)
+            if n < width:
+                anchors.append((n, small[None]))
+            else:
+                spots = np.arange(0, len(words) - self.block + 1, width - self.block + 1)
+                anchors.append((0, small[spots[:, None] + np.arange(self.block)]))
+        self.anchors = {k: np.unique(np.concatenate([a for n, a in anchors if n == k]), axis=0) for k in sorted({n for n, _ in anchors})}
+        self.tables = {}
+        for n, parts in found.items():
+            key, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.lexsort((item, key))
+            key, item = key[by], item[by]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (item[1:] != item[:-1])])
+            key, item = key[new], item[new]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            self.tables[n] = key[first], np.append(first, len(key)), item
+
+    @staticmethod
+    def small(words: np.ndarray) -> np.ndarray:
+        return (words >> np.uint64(33)).astype(np.int32)
+
+    def automaton(self):
+        """Values: 4 * words, and 2 for an anchor, 1 for a short item's only window, 3 for a sequence that is both."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for n, rows in self.anchors.items():
+            for row in rows:
+                key = tuple(row.tolist())
+                if n:
+                    out.add_word(key, 4 * n + 1 + (2 if out.exists(key) else 0))
+                else:
+                    out.add_word(key, 4 * len(key) + 2)
+        if self.anchors:
+            out.make_automaton()
+        return out
+
+    def hits(self, automaton, words: np.ndarray) -> tuple[list[tuple[int, int]], list[str]]:  # noqa: ANN001
+        """Runs of words (start, end) inside windows that occur in a text, and the items of these windows."""
+        text = tuple(self.small(words).tolist())
+        ends = list(automaton.iter(text)) if len(text) and self.anchors else []
+        if not ends:
+            return [], []
+        at, value = np.array(ends, np.int64).T
+        spans, items = [], []
+        late = at[value & 2 > 0]
+        if len(late):
+            starts = np.unique(late[:, None] - np.arange(self.block - 1, self.width))
+            spans.append((self.width, starts[(starts >= 0) & (starts + self.width <= len(words))]))
+        for n in np.unique(value[value & 1 > 0] >> 2).tolist():
+            spans.append((n, at[(value & 1 > 0) & (value >> 2 == n)] - n + 1))
+        cover = np.zeros(len(words) + 1, np.int64)
+        for n, starts in spans:
+            table, edges, owner = self.tables[n]
+            key = window_hashes(words, starts, n)
+            spot = np.minimum(np.searchsorted(table, key), len(table) - 1)
+            good = table[spot] == key
+            np.add.at(cover, starts[good], 1)
+            np.add.at(cover, starts[good] + n, -1)
+            items += [owner[edges[i] : edges[i + 1]] for i in np.unique(spot[good])]
+        inside = np.diff(np.concatenate([[0], (np.cumsum(cover)[:-1] > 0).astype(np.int8), [0]]))
+        runs = zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True)
+        return list(runs), [self.names[i] for i in np.unique(np.concatenate(items))] if items else []
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of runs, as runs that do not touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def contaminated(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = 64 << 20,
+    item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """All columns of docs, and tw_n_words, tw_n_hit, tw_items (sorted ids), tw_spans (hit passages in the original)."""
+    """All columns of docs, and tw_n_words, tw_n_hit, tw_items (sorted ids), tw_spans (hit passages in the original, code points)."""
     batches(spark)
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text, over max_bytes={max_bytes}: pass it in parts")
-    items = [tuple(r) for r in benchmark.select(item_col, item_text_col).collect()]
-    sent = spark.sparkContext.broadcast(windows(items, width))
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("tw_n_words", T.LongType()), T.StructField("tw_n_hit", T.LongType()), T.StructField("tw_items", T.ArrayType(T.StringType())), T.StructField("tw_spans", T.ArrayType(SPAN))]
-    )
-    at = docs.columns.index(text_col)
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(sent.value)
-        for batch in rows:
-            n, hits, items, spans = [], [], [], []
-            for text in batch.column(at).cast(pa.binary()).to_pylist():
-                w = words_of(text or b"")
-                hit, ids = scan(found, w) if w and len(found) else (np.zeros(0, np.int64), set())
-                n.append(len(w))
-                hits.append(len(hit))
-                items.append(sorted(ids))
-                spans.append([{"start": a, "end": b} for a, b in places(text, hit)] if len(hit) else [])
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            extra = [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[f"c{i}" for i in range(len(schema))])
-
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    out = plain.mapInArrow(run, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)]))
-    return out.toDF(*schema.names)
-
+    work = Workspace(spark, "decontamination")
+    docs, (text_col,) = aside(docs, [f.name for f in ADDED], text_col)
+    at, many = docs.columns.index(text_col), len(docs.columns)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*docs.schema, *ADDED])])
+    items = work.write(pieces(benchmark, item_col, item_text_col, width).distinct(), "pieces")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(size) // max_bytes))  # 8 bytes of hash stand for a word, which takes about as many in the text
+
+    def scan(rows: DataFrame, sent, first: bool, last: bool) -> DataFrame:  # noqa: ANN001
+        name = uuid.uuid4().hex
+
+        def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if name not in _built:  # a worker that is used again has it
+                _built.clear()
+                _built[name] = sent.value.automaton()
+            hasher, index, found = WordHasher(plain=True), sent.value, _built[name]
+            for whole in batches_:
+                for lo in range(0, len(whole), 500):
+                    batch = whole.slice(lo, 500)
+                    words, edge = hasher(batch.column(at))
+                    before = None if first else (batch.column(many + 2).to_pylist(), batch.column(many + 3).to_pylist())
+                    hits, ids, spans = [], [], []
+                    texts = text_buffer(batch.column(at))[1]  # where each text begins in the hasher's bytes
+                    for k in range(len(batch)):
+                        a, b = int(edge[k]), int(edge[k + 1])
+                        runs, own = index.hits(found, words[a:b])
+                        if before:
+                            own, runs = sorted({*own, *before[0][k]}), merged([*runs, *((r["start"], r["end"]) for r in before[1][k])])
+                        hits.append(sum(y - x for x, y in runs))
+                        ids.append(own)
+                        if last and runs:
+                            lead = (hasher.data[texts[k] : texts[k + 1]] & 0xC0) != 0x80  # bytes that begin a code point
+                            code = np.concatenate([[0], np.cumsum(lead)])
+                            runs = [(int(code[hasher.starts[a + x] - texts[k]]), int(code[hasher.stops[a + y - 1] - texts[k]])) for x, y in runs]
+                        spans.append([{"start": x, "end": y} for x, y in runs])
+                    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                    told = [pa.array(np.diff(edge)), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, span)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:many], *told], names=schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    out = docs.toDF(*schema.names[:many])
+    for k in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).collect()
+        out = scan(out, spark.sparkContext.broadcast(Index([tuple(r) for r in own], width)), k == 0, k == parts - 1)
+        if k < parts - 1:
+            out = work.write(out, f"part{k}")
+            if k:
+                work.drop(f"part{k - 1}")
+    work.drop("pieces")
+    return out.toDF(*docs.columns, *(f.name for f in ADDED))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
