@@ -3,7 +3,7 @@
 Texts are normalised to their words (runs of ASCII letters and digits, A-Z lower-cased, and non-ASCII characters), known by 64-bit hashes. A window is
 `width` consecutive words of an item (a shorter item is one window). Windows overlap, so that an automaton of all of them would hold each
 word `width` times; it holds anchors instead: blocks of half a window, spaced so that every window contains one, and short items whole. Its
-alphabet is words. Each text is scanned once; where an anchor ends, the windows around it are looked up in a sorted table of window hashes, which
+alphabet is words' hashes, cut to 16 bits. Each text is scanned once; where an anchor ends, the windows around it are looked up in a sorted table of window hashes, which
 confirms them and names their items. Only a text with a match pays for the map from words back to its characters.
 
 The index is made of at most about `max_bytes` of item text: a larger benchmark is dealt into parts by hash, and texts are scanned once for each part,
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from trackweave.llm.common import Workspace, WordHasher, aside, batches, mix, text_buffer
 
-PIECE, MAX_BYTES = 100_000, 32 << 20
+PIECE, MAX_BYTES = 100_000, 16 << 20
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 ADDED = [T.StructField("tw_n_words", T.LongType()), T.StructField("tw_n_hit", T.LongType()), T.StructField("tw_items", T.ArrayType(T.StringType())), T.StructField("tw_spans", SPAN)]
 
@@ -87,28 +87,31 @@ class Index:
 
     @staticmethod
     def small(words: np.ndarray) -> np.ndarray:
-        return (words >> np.uint64(33)).astype(np.int32)
+        return (words >> np.uint64(48)).astype(np.uint16)
 
     def automaton(self):
-        """Values: 4 * words, and 2 for an anchor, 1 for a short item's only window, 3 for a sequence that is both."""
+        """Over 16 bits of each word's hash, as two letters, so that no node has many edges.
+
+        Values: 4 * words, and 2 for an anchor, 1 for a short item's only window, 3 for a sequence that is both.
+        """
         import ahocorasick
 
-        out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for n, rows in self.anchors.items():
             for row in rows:
-                key = tuple(row.tolist())
+                key = row.tobytes().decode("latin-1")
                 if n:
                     out.add_word(key, 4 * n + 1 + (2 if out.exists(key) else 0))
                 else:
-                    out.add_word(key, 4 * len(key) + 2)
+                    out.add_word(key, 4 * len(row) + 2)
         if self.anchors:
             out.make_automaton()
         return out
 
     def hits(self, automaton, words: np.ndarray) -> tuple[list[tuple[int, int]], list[str]]:  # noqa: ANN001
         """Runs of words (start, end) inside windows that occur in a text, and the items of these windows."""
-        text = tuple(self.small(words).tolist())
-        ends = list(automaton.iter(text)) if len(text) and self.anchors else []
+        text = self.small(words).tobytes().decode("latin-1")
+        ends = [(at >> 1, value) for at, value in automaton.iter(text) if at & 1] if text and self.anchors else []
         if not ends:
             return [], []
         at, value = np.array(ends, np.int64).T
