@@ -4,7 +4,9 @@ Quality: rejected documents go. Near duplicates: one document of each group stay
 the benchmark are cut out, with the text around them kept, and a document of which they are half the words or more goes. Secrets: masked
 in the text. Encoding: the last stage returns, for each document, ids and digests.
 
-n_chars is counted anew where a stage changes a text. Stages keep null and empty texts unless the quality classifier rejects them.
+n_chars is counted anew where a stage changes a text. Stages keep null and empty texts unless the quality classifier rejects them (a null text stays null), take
+repeated rows for near duplicates, ties as their operators do, and texts of any length whole; an empty table passes as one. Columns besides the five of
+documents go in the first stage, whatever their names. Each stage's table stays in the shared folder until the next is written; the last one is the result.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import bpe, decontam, jaccard, quality, secrets
-from trackweave.llm.common import Workspace
+from trackweave.llm.common import Workspace, spliced
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,11 +32,9 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = found.where(F.col("tw_n_hit") * 2 < F.greatest("tw_n_words", F.lit(1)))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at"))
-    rest = F.aggregate("tw_spans", zero, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
     cut = F.size("tw_spans") > 0
-    return found.withColumn("rest", F.when(cut, rest).otherwise(F.col("text"))).select("doc_id", F.col("rest").alias("text"), "lang", "source", F.when(cut, F.length("rest").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    rest = spliced(F.col("text"), F.col("tw_spans"), lambda *_: F.lit(""))
+    return found.withColumn("rest", rest).select("doc_id", F.col("rest").alias("text"), "lang", "source", F.when(cut, F.length("rest").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

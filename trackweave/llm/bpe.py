@@ -10,7 +10,8 @@ The vocabulary file (the tokenizers library's JSON of a BPE with an end-of-word
 read by the driver and broadcast; FILE_BYTES bounds it.
 
 Defined cases: a null text is an empty one: no ids, and decoding gives ''. Special tokens in a text become their ids, as in
-the library. Repeated rows are encoded row by row, an empty table gives an empty table, other columns pass through.
+the library. Repeated rows are encoded row by row, an empty table gives an empty table, other columns pass through
+(see `aside` for names that clash).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import batches
+from trackweave.llm.common import aside, batches
 
 SHORT, KEPT, FILE_BYTES = 96, 250_000, 32 << 20
 
@@ -151,6 +152,7 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "te
         raise ValueError("the vocabulary file is too large to broadcast")
     sent = spark.sparkContext.broadcast(content)
     fields = [("tw_n_tokens", T.LongType()), *([("tw_ids", T.ArrayType(T.IntegerType()))] if ids else []), ("tw_ids_sha256", T.StringType()), ("tw_decoded_sha256", T.StringType())]
+    docs, (text_col,) = aside(docs, [n for n, _ in fields], text_col)
     names = [*docs.columns, *(n for n, _ in fields)]
     schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate([*(f.dataType for f in docs.schema), *(t for _, t in fields)])])
     at = docs.columns.index(text_col)

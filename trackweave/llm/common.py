@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 17
@@ -72,6 +72,51 @@ def aside(docs: DataFrame, added: list[str], *names: str) -> tuple[DataFrame, li
     return docs.toDF(*[moved.get(c, c) for c in docs.columns]), [moved.get(n, n) for n in names]
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), with value computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, step, zero: Column, kind: str, block: int = 128) -> Column:  # noqa: ANN001
+    """For each element of an array the fold of those before it, block by block: an array that grows by one element costs its length each time."""
+
+    def scan(part: Column, start: Column) -> Column:
+        first = F.struct(start.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(part, first, lambda s, x: F.struct(step(s["at"], x).cast(kind).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    def whole(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        fold = lambda b: F.transform(b, lambda x: F.aggregate(x, zero.cast(kind), lambda a, y: step(a, y).cast(kind)))
+        return let(cut, lambda b: F.flatten(F.zip_with(b, scan(fold(b), zero), scan)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def spliced(text: Column, spans: Column, mask, block: int = 128) -> Column:  # noqa: ANN001
+    """text with spans (start, end; sorted by start, code points, maybe overlapping) replaced; mask(length, fresh) of what a span adds to those before it.
+
+    fresh: text stands between the span and those before it, or it is the first. Spans are taken in blocks, and a block's part of the text once.
+    """
+
+    def whole(own: Column) -> Column:
+        items = F.zip_with(own, running(F.transform(own, lambda s: s["end"]), F.greatest, F.lit(0), "int"), lambda s, at: F.struct(s["start"].alias("start"), F.greatest(s["end"], at).alias("end"), at.alias("at")))
+
+        def each(b: Column) -> Column:
+            first = b[0]["at"]
+            part = F.substring(text, first + 1, F.element_at(b, -1)["end"] - first)
+
+            def piece(local: Column, x: Column) -> Column:
+                kept = F.substring(local, x["at"] - first + 1, F.greatest(x["start"] - x["at"], F.lit(0)))
+                return F.concat(kept, mask(x["end"] - F.greatest(x["start"], x["at"]), (x["start"] > x["at"]) | (x["at"] == 0)))
+
+            return let(part, lambda local: F.array_join(F.transform(b, lambda x: piece(local, x)), ""))
+
+        cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        return let(items, lambda v: F.concat(F.array_join(F.transform(cut(v), each), ""), F.substring(text, F.element_at(v, -1)["end"] + 1, F.length(text))))
+
+    return let(spans, lambda own: F.when(F.size(own) > 0, whole(own)).otherwise(text))
+
+
 def batches(spark: SparkSession) -> None:
     """Small Arrow batches: long texts make rows large. The two settings stay changed in the session, as plans read them when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

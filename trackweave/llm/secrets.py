@@ -8,7 +8,8 @@ Spans of known formats, words of a path (three letters or more, up to a slash) a
 is left is a candidate of its own, unless it is a number, words or dates as a whole; a piece shorter than a window has none.
 
 Defined cases: a null or empty text has no spans (an empty array); equal rows get equal spans; an empty table gives an
-empty table; other columns pass through. Texts are scanned whole.
+empty table; other columns pass through (see `aside` for names that clash). Texts are scanned whole, in time in proportion to their length and matches
+(arrays and strings are put together in blocks).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.llm.common import aside, let, running, spliced
+
 #: Known formats (kind, pattern, group whose length counts, its least length), in the order in which spans of equal start are listed.
 FORMATS = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -43,41 +46,39 @@ LEAST = 20
 def found(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs (start, end, match); code points, end exclusive."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,match:string>>>"
+    kind = "array<struct<start:int,end:int,match:string>>"
+
+    def placed(pairs: Column) -> Column:
+        before = running(F.transform(pairs, lambda p: F.length(p["before"]) + F.length(p["match"])), lambda a, b: a + b, F.lit(0), "int")
+        start = lambda p, at: at + F.length(p["before"])
+        return F.zip_with(pairs, before, lambda p, at: F.struct(start(p, at).alias("start"), (start(p, at) + F.length(p["match"])).alias("end"), p["match"].alias("match")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["before"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+    def paired(m: Column) -> Column:
+        pairs = F.zip_with(F.split(text, pattern, -1), m, lambda a, x: F.struct(F.coalesce(a, F.lit("")).alias("before"), x.alias("match")))
+        return F.when(F.size(m) > 0, let(F.filter(pairs, lambda p: p["match"].isNotNull()), placed).cast(kind)).otherwise(F.array().cast(kind))
 
-    pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda a, m: F.struct(F.coalesce(a, F.lit("")).alias("before"), m.alias("match")))
-    zero = F.from_json(F.lit('{"at":0,"out":[]}'), kind)
-    return F.when(F.size(matches) > 0, F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), zero, step)["out"]).otherwise(zero["out"])
+    return let(matches, paired)
 
 
-def pieces(c: Column, known: Column) -> Column:
-    """What is left of a candidate outside known spans and named parts, where that is at least LEAST long; as structs (start, end, match)."""
-    bounds = lambda s, at: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"))
-    met = F.transform(F.filter(known, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])), lambda s: bounds(s, F.lit(0)))
-    named = F.transform(found(c["match"], PARTS), lambda s: bounds(s, c["start"]))
-    cuts = F.array_sort(F.concat(met, named, F.array(F.struct(c["end"].alias("start"), c["end"].alias("end")))))
+def pieces(c: Column) -> Column:
+    """What is left of a candidate outside named parts, where that is at least LEAST long; as structs (start, end, match)."""
+    kind = "array<struct<start:int,end:int,match:string>>"
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.struct(state["at"].alias("start"), s["start"].alias("end"), F.substring(c["match"], state["at"] - c["start"] + 1, s["start"] - state["at"]).alias("match"))
-        out = F.when(s["start"] - state["at"] >= LEAST, F.concat(state["out"], F.array(piece))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def around(named: Column) -> Column:
+        last = F.struct(F.length(c["match"]).alias("start"), F.length(c["match"]).alias("end"))
+        cuts = F.concat(F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.array(last))
+        gaps = F.zip_with(cuts, F.concat(F.array(F.lit(0)), F.transform(named, lambda s: s["end"])), lambda s, at: F.struct(at.alias("at"), (s["start"] - at).alias("n")))
+        return F.transform(F.filter(gaps, lambda g: g["n"] >= LEAST), lambda g: F.struct((c["start"] + g["at"]).alias("start"), (c["start"] + g["at"] + g["n"]).alias("end"), F.substring(c["match"], g["at"] + 1, g["n"]).alias("match")))
 
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")
-    return F.aggregate(cuts, F.struct(c["start"].alias("at"), none.alias("out")), step)["out"]
+    return let(found(c["match"], PARTS), around).cast(kind)
 
 
 def entropic(word: Column, alphabet: str, window: int, least: float) -> Column:
     """First and last window start (from 0) whose entropy is at least `least`; first is -1 if none."""
     weight = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    place = lambda i: F.instr(F.lit(alphabet), F.substring(word, i, F.lit(1)))
 
-    def step(s: Column, i: Column) -> Column:
-        into, out = place(i), F.when(i > window, place(i - window)).otherwise(F.lit(0))
+    def step(codes: Column, s: Column, i: Column) -> Column:
+        into, out = codes[i - 1], F.when(i > window, F.get(codes, i - window - 1)).otherwise(F.lit(0))
         before_in, before_out = F.get(s["counts"], into - 1), F.get(s["counts"], out - 1)
         gain = F.when(into == out, 0.0).otherwise(weight(before_in + 1) - weight(before_in) + F.when(out > 0, weight(before_out - 1) - weight(before_out)).otherwise(0.0))
         total = s["total"] + gain
@@ -90,39 +91,45 @@ def entropic(word: Column, alphabet: str, window: int, least: float) -> Column:
         )
 
     zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, step, lambda s: F.struct(s["first"], s["last"]))
+    places = F.transform(F.split(word, ""), lambda x: F.instr(F.lit(alphabet), x))
+    return let(places, lambda codes: F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, lambda s, i: step(codes, s, i), lambda s: F.struct(s["first"], s["last"])))
 
 
 def scanned(docs: DataFrame, text_col: str = "text", formats=FORMATS, classes=CLASSES, allowed=ALLOWED) -> DataFrame:  # noqa: ANN001
-    """All columns of docs, and tw_spans: array of (start, order, end, kind), by start, then kind as listed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """All columns of docs, and tw_known (spans of known formats) and tw_spans (all): arrays of (start, order, end, kind), by start, then kind as listed."""
+    added = ["tw_known", "tw_spans"]
+    docs, (text_col,) = aside(docs, added, text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.coalesce(F.col(plain.columns[docs.columns.index(text_col)]), F.lit(""))
     span = lambda start, order, end, kind: F.struct(start.cast("int").alias("start"), F.lit(order).alias("order"), end.cast("int").alias("end"), F.lit(kind).alias("kind"))
-    known = []
-    out = docs
 
     def listed(order: int, kind: str, pattern: str, group: int, least: int) -> Column:
         secret = lambda m: F.regexp_extract(m["match"], pattern, group) if group else m["match"]
         return F.transform(F.filter(found(text, pattern), lambda m: F.length(secret(m)) >= least), lambda m: span(m["start"], order, m["end"], kind))
 
-    for order, told in enumerate(formats):
-        out = out.withColumn(f"tw_known{order}", listed(order, *told))
-        known.append(f"tw_known{order}")
-    out = out.withColumn("tw_known", F.array_sort(F.concat(*known))).withColumn("tw_candidates", found(text, CANDIDATE))
+    # one step for each: the analyzer resolves nested lambdas level by level, and stops at a hundred
+    out, each = plain, [f"known{order}" for order in range(len(formats))]
+    for name, (order, told) in zip(each, enumerate(formats), strict=True):
+        out = out.withColumn(name, listed(order, *told))
+    out = out.withColumn("known", F.array_sort(F.concat(*each)))
+    # known spans become blanks of their length, which are no key characters: what is left beside them is a candidate of its own
+    blank = spliced(text, F.col("known"), lambda n, _: F.repeat(F.lit(" "), F.greatest(n, F.lit(0))))
+    out = out.withColumn("blank", blank).withColumn("runs", found(F.col("blank"), CANDIDATE))
+    out = out.withColumn("candidates", F.flatten(F.transform("runs", pieces)))
     whole = [p for p in allowed if re.match(WHOLE, p)]
-    out = out.withColumn("tw_candidates", F.flatten(F.transform("tw_candidates", lambda c: pieces(c, F.col("tw_known")))))
-    out = out.withColumn("tw_candidates", F.filter("tw_candidates", lambda c: ~_any([c["match"].rlike(p) for p in whole])))
+    out = out.withColumn("candidates", F.filter("candidates", lambda c: ~_any([c["match"].rlike(p) for p in whole])))
 
     def judged(c: Column) -> Column:
         result = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
         for _, pattern, alphabet, window, least in reversed(classes):
             run = entropic(c["match"], alphabet, window, least)
-            result = F.when(c["match"].rlike(pattern), F.struct(run["first"].alias("first"), (run["last"] + window).alias("last"))).otherwise(result)
+            result = F.when(c["match"].rlike(pattern), let(run, lambda r, w=window: F.struct(r["first"].alias("first"), (r["last"] + w).alias("last")))).otherwise(result)
         return F.struct(c["start"].alias("at"), result.alias("run"))
 
-    hits = F.filter(F.transform("tw_candidates", judged), lambda x: x["run"]["first"] >= 0)
-    added = F.transform(hits, lambda x: span(x["at"] + x["run"]["first"], len(formats), x["at"] + x["run"]["last"], "entropy"))
-    out = out.withColumn("tw_added", F.when(F.size("tw_candidates") > 0, added).otherwise(F.filter(F.col("tw_known"), lambda s: F.lit(False))))
-    return out.withColumn("tw_spans", F.array_sort(F.concat("tw_known", "tw_added"))).drop(*known, "tw_candidates", "tw_added")
+    hits = F.filter(F.transform("candidates", judged), lambda x: x["run"]["first"] >= 0)
+    more = F.transform(hits, lambda x: span(x["at"] + x["run"]["first"], len(formats), x["at"] + x["run"]["last"], "entropy"))
+    out = out.withColumn("more", F.when(F.size("candidates") > 0, more).otherwise(F.filter(F.col("known"), lambda s: F.lit(False))))
+    return out.select(*plain.columns, "known", F.array_sort(F.concat("known", "more"))).toDF(*docs.columns, *added)
 
 
 def _any(tests: list[Column]) -> Column:
@@ -133,18 +140,8 @@ def _any(tests: list[Column]) -> Column:
 
 
 def redacted(scans: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The text with each run of overlapping spans replaced by the mask; a null text stays null."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    text = F.col(text_col)
-
-    def step(s: Column, x: Column) -> Column:
-        gap = x["start"] >= s["at"]
-        kept = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        first = gap & ((x["start"] > s["at"]) | (s["at"] == 0))
-        return F.struct(F.when(first, F.concat(s["out"], kept, F.lit(mask))).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
-
-    whole = F.aggregate("tw_spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return scans.withColumn(text_col, F.when(F.size("tw_spans") > 0, whole).otherwise(text))
+    """The text with each run of overlapping or touching spans replaced by the mask; a null text stays null."""
+    return scans.withColumn(text_col, spliced(F.col(text_col), F.col("tw_spans"), lambda _, fresh: F.when(fresh, F.lit(mask)).otherwise(F.lit(""))))
 
 
 def joined(spans: Column) -> Column:
