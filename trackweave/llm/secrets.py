@@ -119,11 +119,13 @@ def scanned(docs: DataFrame, text_col: str = "text", formats=FORMATS, classes=CL
     whole = [p for p in allowed if re.match(WHOLE, p)]
     out = out.withColumn("candidates", F.filter("candidates", lambda c: ~_any([c["match"].rlike(p) for p in whole])))
 
+    def reach(word: Column, alphabet: str, window: int, least: float) -> Column:
+        return let(entropic(word, alphabet, window, least), lambda r: F.struct(r["first"].alias("first"), (r["last"] + window).alias("last")))
+
     def judged(c: Column) -> Column:
         result = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
         for _, pattern, alphabet, window, least in reversed(classes):
-            run = entropic(c["match"], alphabet, window, least)
-            result = F.when(c["match"].rlike(pattern), let(run, lambda r, w=window: F.struct(r["first"].alias("first"), (r["last"] + w).alias("last")))).otherwise(result)
+            result = F.when(c["match"].rlike(pattern), reach(c["match"], alphabet, window, least)).otherwise(result)
         return F.struct(c["start"].alias("at"), result.alias("run"))
 
     hits = F.filter(F.transform("candidates", judged), lambda x: x["run"]["first"] >= 0)

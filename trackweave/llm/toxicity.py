@@ -4,12 +4,14 @@ A word's input is its embedding (a bounded vocabulary of training words) beside
 gated recurrent passes read a window of WINDOW words; attention pools their states into a logit. A text's evidence is its highest window;
 a calibration on training texts turns that and the number of windows into a probability.
 
-Training sees a bounded sample: at most SAMPLE texts of each label, of at most LONG characters each. Labels mark texts, so that each round
+Windows of WINDOW words begin every STRIDE words: a run of WINDOW - STRIDE words or fewer is whole in some window. Training sees a bounded sample: at
+most SAMPLE texts of each label; of a text over LONG characters, passages of PASSAGE characters spread evenly over all of it, LONG together. Labels mark texts, so that each round
 takes the highest window of a toxic text, and the highest and a random one of a clean text. Word embeddings begin at the log-odds of
 the words. The score uses the text alone.
 
 Defined cases: a null or empty text has one empty window; equal texts get equal scores; without both labels every score is the labels' share
-(0 without labels); texts are scored whole, whatever their length; an empty table gives an empty table; other columns pass through.
+(0 without labels); a null text is learnt from as an empty one; texts are scored whole, whatever their length; an empty table gives an empty table; other columns pass through
+(see `aside` for names that clash).
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import WordHasher, batches, held_out, logistic, mix, sampled, sigmoid
+from trackweave.llm.common import WordHasher, aside, batches, held_out, logistic, mix, sampled, sigmoid
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD, CHAR, HIDDEN, ATTEND = 8, 6, 8, 8
 VOCABULARY, TRIGRAMS = 8192, 4096
-SAMPLE, LONG, ROUNDS, STEPS, BATCH, RATE = {1: 1500, 0: 2500}, 40_000, 5, 200, 128, 0.01
+SAMPLE, LONG, PASSAGE, ROUNDS, STEPS, BATCH, RATE = {1: 1500, 0: 2500}, 40_000, 2_000, 5, 200, 128, 0.01
 
 
 def trigrams(hasher: WordHasher, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,10 +230,18 @@ def train(texts: list[str], y: np.ndarray) -> Network | float:
     return net
 
 
+def passages(text: Column) -> Column:
+    """A text for training: the whole, or, of a long one, passages spread evenly over it."""
+    many = LONG // PASSAGE
+    starts = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda k: (k * ((F.length(text) - PASSAGE) / (many - 1))).cast("int") + 1)
+    return F.when(F.length(text) > LONG, F.array_join(F.transform(starts, lambda at: F.substring(text, at, F.lit(PASSAGE))), " ")).otherwise(F.coalesce(text, F.lit("")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: dict[int, int] = SAMPLE, folds: int = 5, fold: int = 0) -> Network | float:  # noqa: B006
-    rows = sampled(docs.select(id_col, text_col).where(F.length(text_col) <= LONG), labels, id_col, label, sample, folds, fold).select(text_col, "tw_label").toPandas()
-    rows = rows.sort_values([text_col, "tw_label"])
-    texts, y = rows[text_col].tolist(), rows["tw_label"].to_numpy(float)
+    own = docs.select(F.col(id_col).alias("id"), passages(F.col(text_col)).alias("text"))
+    rows = sampled(own, labels.select(F.col(id_col).alias("id"), label), "id", label, sample, folds, fold).select("text", "tw_label").toPandas()
+    rows = rows.sort_values(["text", "tw_label"])
+    texts, y = rows["text"].tolist(), rows["tw_label"].to_numpy(float)
     del rows
     return train(texts, y)
 
@@ -239,6 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scored(spark: SparkSession, docs: DataFrame, model: Network | float, text_col: str = "text") -> DataFrame:
     """All columns of docs, and tw_score."""
     batches(spark)
+    docs, (text_col,) = aside(docs, ["tw_score"], text_col)
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)), T.StructField("score", T.DoubleType())])
     at_col, sent = docs.columns.index(text_col), spark.sparkContext.broadcast(model)
 
