@@ -53,14 +53,10 @@ class Thresholds:
     stale_frames: int | None = None
 
 
-#: Presets of the two older refinement generations.
-FIRST = Thresholds(split_reid=0.72, split_color=0.28, merge_reid=0.85, merge_color=0.40, max_overlap=0, min_final=3)
-SECOND = Thresholds(split_reid=0.72, split_color=0.28, merge_reid=0.85, merge_color=0.40, max_overlap=0, min_final=3)
-
 #: For the synthetic vectors of the test tables, which are nearly random.
 FIXTURE = Thresholds(
     split_reid=0.10, split_color=0.85, merge_reid=0.15, merge_color=0.85, coherence_min=0.25, min_track=8, min_final=8, large_size=20, large_reid=0.12, large_color=0.85,
-    short_link=0.20, long_link=0.30, drift_reid=-0.20, short_gap_frames=30, stale_frames=80, reattach_reid=0.10, reattach_color=0.80, match_reid=0.15, match_color=0.85,
+    short_link=0.20, long_link=0.30, drift_reid=-0.20, short_gap_frames=30, stale_frames=80, reattach_reid=0.10, reattach_color=0.80, match_reid=0.05, match_color=0.60,
 )
 
 

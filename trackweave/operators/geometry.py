@@ -23,10 +23,6 @@ def same_frame_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return met.withColumn("iou", iou("a", "b")).where(F.col("iou") >= least).select("frame_idx", "a_id", "b_id", "iou")
 
 
-def averaged_box(p: str, q: str) -> list[Column]:
-    return [((F.col(f"{p}_{c}") + F.col(f"{q}_{c}")) / 2).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]
-
-
 def hue(pid: Column) -> Column:
     """0..178: the golden ratio spreads neighbouring ids."""
     return F.floor(F.pmod(pid * F.lit(0.61803398875), F.lit(1.0)) * 179).cast("int")
@@ -56,3 +52,12 @@ def overlay(d: DataFrame, identities: DataFrame) -> DataFrame:
         "review_label": F.when(known, F.format_string("P%03d L%d", "person_id", "local_id")).otherwise(F.format_string("L%d ?", "local_id")),
         "text_y": F.greatest(F.col("y1") - 10, F.lit(20)), "review_y": F.when(F.col("y1") > 24, F.col("y1") - 10).otherwise(F.col("y1") + 20), "hue": hue(F.col("person_id")),
     })
+
+
+def online_labels(d: DataFrame, gid: str = "gid") -> DataFrame:
+    """What is drawn while linking: L:<local> above the box (below its upper edge near the image's), G:<global> or G:? beneath it, in the identity's colour."""
+    known, y = F.col(gid).isNotNull(), F.when(F.col("y1") > 24, F.col("y1") - 10).otherwise(F.col("y1") + 20)
+    tint = bgr(hue(F.col(gid)), 220)
+    #: The colour of an unknown identity.
+    plain = {"b": 0, "g": 165, "r": 255}
+    return d.withColumns({"local_text": F.format_string("L:%d", "local_id"), "global_text": F.when(known, F.format_string("G:%d", gid)).otherwise("G:?"), "local_y": y, "global_y": y + 18} | {c: F.when(known, tint[c]).otherwise(F.lit(v)) for c, v in plain.items()})

@@ -102,12 +102,3 @@ def image_range(specs: DataFrame, crops: DataFrame, size: int) -> DataFrame:
     keys = ["spec", "folder1", "folder2"]
     ends = dealt("1", "2").unionByName(dealt("2", "1")).groupBy(*keys, "b1", "b2").applyInArrow(compared, "spec string, folder1 int, folder2 int, low double, high double")
     return ends.groupBy(*keys).agg(F.min("low").alias("min_sim"), F.max("high").alias("max_sim")).join(means.select(*keys, "mean_sim"), keys)
-
-
-def best_other(protos: DataFrame) -> DataFrame:
-    """For each track the other track of highest reid + colour (unweighted); ties go to the lower (folder, track)."""
-    keys = {"folder": "folder", "local_id": "track"}
-    one, two = side(protos, keys, "1"), side(protos, {"folder": "other_folder", "local_id": "other_track"}, "2")
-    met = scored(one.join(two, (F.col("folder") != F.col("other_folder")) | (F.col("track") != F.col("other_track"))))
-    best = F.max(F.struct((F.col("reid_sim") + F.col("color_sim")).alias("score"), (-F.col("other_folder")).alias("of"), (-F.col("other_track")).alias("ot"), "reid_sim", "color_sim"))
-    return met.groupBy("folder", "track").agg(best.alias("b")).select("folder", "track", (-F.col("b.of")).alias("other_folder"), (-F.col("b.ot")).alias("other_track"), F.col("b.reid_sim").alias("reid_sim"), F.col("b.color_sim").alias("color_sim"))

@@ -199,6 +199,37 @@ def identity_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.overlay(d, m).select("det_id", "frame_idx", "local_id", "person_id", "label", "review_label", "text_y", "review_y")
 
 
+def online_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels, places and colours drawn while linking; a frame's identities are those of the crops."""
+    m = geometry.identity_map(fx.crops(spark, sf)).select(F.col("frame").alias("frame_idx"), "local_id", F.col("person_id").alias("gid"))
+    d = fx.detections(spark, sf).select("det_id", "frame_idx", (F.col("local_id") % 5).alias("local_id"), "y1").join(m, ["frame_idx", "local_id"], "left")
+    return geometry.online_labels(d).select("det_id", "local_text", "global_text", "local_y", "global_y", "b", "g", "r")
+
+
+def deep_folder_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All that a folder's diagnosis tells, as rows: its tracks, how near each is to the folder, and its pairs of tracks."""
+    line = lambda d, section, **c: d.select("folder", F.lit(section).alias("section"), *(c.get(k, F.lit(None)).cast(t).alias(k) for k, t in REPORT.items()))
+    col = F.col
+    own = line(track_summary(spark, sf), "track", a=col("track_id"), n=col("image_count"), low=col("min_sim"), high=col("max_sim"), value=col("mean_sim"))
+    near = line(track_to_folder_similarity(spark, sf), "track to folder", a=col("local_id"), value=col("reid_sim"), high=col("color_sim"))
+    met = line(intra_track_pairs(spark, sf), "pair", a=col("track_a"), b=col("track_b"), n=col("frame_overlap"), value=col("reid_sim"), high=col("color_sim"), told=col("verdict"))
+    return own.unionAll(near).unionAll(met)
+
+
+def deep_pair_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All that the diagnosis of two folders tells, as rows: the verdict, pairs of tracks, the most similar images, and the range over all images."""
+    line = lambda d, section, **c: d.select("spec", "folder1", "folder2", F.lit(section).alias("section"), *(c.get(k, F.lit(None)).cast(t).alias(k) for k, t in REPORT.items()))
+    col = F.col
+    told = line(compare_summary(spark, sf), "verdict", n=col("frame_overlap"), value=col("reid_sim"), high=col("color_sim"), told=col("reasons"))
+    met = line(compare_track_pairs(spark, sf), "pair", a=col("track1"), b=col("track2"), n=col("frame_overlap"), value=col("reid_sim"), high=col("color_sim"), told=col("verdict"))
+    top = line(compare_top_pairs(spark, sf).where("image1 is not null"), "images", a=col("image1"), b=col("image2"), value=col("sim"))
+    ends = line(pairwise_range(spark, sf), "range", low=col("min_sim"), high=col("max_sim"), value=col("mean_sim"))
+    return told.unionAll(met).unionAll(top).unionAll(ends)
+
+
+REPORT = {"a": "long", "b": "long", "n": "long", "low": "double", "high": "double", "value": "double", "told": "string"}
+
+
 def id_hue(spark: SparkSession, sf: str) -> DataFrame:
     ids = detections(spark, sf).select("local_id").distinct()
     return ids.select("local_id", geometry.hue(F.col("local_id")).alias("hue"))
@@ -228,6 +259,6 @@ QUERIES = {
     for f in (
         intra_track_pairs, track_summary, folder_summary, compare_summary, compare_track_pairs, compare_top_pairs, folder_manifest_diff, track_to_folder_similarity, pairwise_mean_offdiag, pairwise_range,
         duplicate_frames, save_gate, reid_gate, stage_a_gate, gate_matrix, gate_pass_counts, failed_gate_list, metric_histogram, label_gate_examples, crop_name_parse, crop_name_format, pair_spec_parse, even_sample,
-        every_n, bbox_iou, safe_crop, aspect_area, iou_pairs_same_frame, identity_map_last_wins, identity_overlay, id_hue, top_tracks, frame_gap,
+        every_n, bbox_iou, safe_crop, aspect_area, iou_pairs_same_frame, identity_map_last_wins, identity_overlay, online_overlay, deep_folder_report, deep_pair_report, id_hue, top_tracks, frame_gap,
     )
 } | {"gap_frames": gap_frames_query}

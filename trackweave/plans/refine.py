@@ -122,22 +122,30 @@ def merge_trace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def greedy_frame_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Detections of a frame (even ids) to samples of the frame (odd ids), one to one, by reid + colour."""
-    f = fx.features(spark, sf).withColumn("frame_idx", F.floor(F.col("frame_idx") / 6).cast("int"))
-    t = FIXTURE
+    """Detections of a frame (even ids, by id) to samples of persons in the frame (odd ids, by person and track), one to one, by reid + colour; equal scores in that order."""
+    f = fx.features(spark, sf, person=True).withColumn("frame_idx", F.floor(F.col("frame_idx") / 6).cast("int"))
+    t, columns = FIXTURE, ["frame_idx", "det_id", "sample_id", "person_id", "reid_sim"]
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("det_seq", kind="stable")
-        a, b = d[d["det_seq"] % 2 == 0], d[d["det_seq"] % 2 == 1]
+        a, b = d[d["det_seq"] % 2 == 0].sort_values("det_seq"), d[d["det_seq"] % 2 == 1].sort_values(["person_id", "local_id", "det_seq"])
         if a.empty or b.empty:
-            return pd.DataFrame({"frame_idx": [], "det_id": [], "sample_id": [], "reid_sim": []})
+            return pd.DataFrame({c: [] for c in columns})
         part = lambda x, c: np.stack([np.asarray(v, float) for v in x[c]])
         reid = part(a, "embedding") @ part(b, "embedding").T
         color = sum(w * np.minimum(part(a, c)[:, None], part(b, c)[None]).sum(2) for w, c in ((0.4, "upper"), (0.6, "lower")))
-        got = folds.greedy_match(reid + t.merge_weight * color, (reid >= t.match_reid) & (color >= t.match_color))
-        return pd.DataFrame([(int(d["frame_idx"].iloc[0]), int(a["det_seq"].iloc[i]), int(b["det_seq"].iloc[j]), reid[i, j]) for i, j in got], columns=["frame_idx", "det_id", "sample_id", "reid_sim"])
+        got = folds.greedy_match(np.round(reid + t.merge_weight * color, 9), (reid >= t.match_reid) & (color >= t.match_color))
+        return pd.DataFrame([(int(d["frame_idx"].iloc[0]), int(a["det_seq"].iloc[i]), int(b["det_seq"].iloc[j]), int(b["person_id"].iloc[j]), round(reid[i, j], 6)) for i, j in got], columns=columns)
 
-    return f.select("frame_idx", "det_seq", "embedding", "upper", "lower").groupBy("frame_idx").applyInPandas(run, "frame_idx int, det_id long, sample_id long, reid_sim double")
+    rows = f.select("frame_idx", "det_seq", "local_id", "person_id", "embedding", "upper", "lower")
+    return rows.groupBy("frame_idx").applyInPandas(run, "frame_idx int, det_id long, sample_id long, person_id int, reid_sim double")
+
+
+def review_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections of the review video, each with the person it was matched to in its frame, or '?'."""
+    d = fx.keyed(fx.detections(spark, sf)).where("det_id % 2 = 0").select("det_id", F.floor(F.col("frame_idx") / 6).cast("int").alias("frame_idx"), "local_id", "y1")
+    met = d.join(greedy_frame_match(spark, sf).select("det_id", "person_id"), "det_id", "left")
+    label = F.when(F.col("person_id").isNotNull(), F.format_string("P%03d L%d", "person_id", "local_id")).otherwise(F.format_string("L%d ?", "local_id"))
+    return met.select("det_id", "frame_idx", "person_id", label.alias("review_label"), F.when(F.col("y1") > 24, F.col("y1") - 10).otherwise(F.col("y1") + 20).cast("int").alias("review_y"))
 
 
 def greedy_iou_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,11 +177,18 @@ LINKED = "video_id long, frame_idx int, det_seq long, local_id int, gid long, is
 
 def link_rows(linker: Linker, d: pd.DataFrame) -> Iterator[tuple]:
     d = d.sort_values(["frame_idx", "det_seq"], kind="stable")
-    for frame, g in d.groupby("frame_idx", sort=True):
-        box = lambda b: (b["x1"], b["y1"], b["x2"], b["y2"]) if isinstance(b, dict) else tuple(b)
-        rows = [(int(r.local_id), box(r.bbox), bool(r.reid_ok), *(None if v is None else np.asarray(v, float) for v in (r.embedding, r.upper, r.lower))) for r in g.itertuples()]
-        for r, x in zip(g.itertuples(), linker.step(int(frame), rows), strict=False):
-            yield int(r.video_id), int(frame), int(r.det_seq), int(r.local_id), x[0], x[1], x[2], x[3]
+    box = lambda b: (b["x1"], b["y1"], b["x2"], b["y2"]) if isinstance(b, dict) else tuple(b)
+    vector = lambda v: None if v is None else np.asarray(v, float)
+    video, frames, seqs, locals_ = (d[c].tolist() for c in ("video_id", "frame_idx", "det_seq", "local_id"))
+    rows = [(int(k), box(b), bool(ok), vector(e), vector(u), vector(lo)) for k, b, ok, e, u, lo in zip(locals_, d["bbox"], d["reid_ok"], d["embedding"], d["upper"], d["lower"], strict=True)]
+    at = 0
+    while at < len(rows):
+        to = at
+        while to < len(rows) and frames[to] == frames[at]:
+            to += 1
+        for k, x in zip(range(at, to), linker.step(int(frames[at]), rows[at:to]), strict=False):
+            yield int(video[k]), int(frames[k]), int(seqs[k]), int(locals_[k]), *x
+        at = to
 
 
 def as_linked(rows: list[tuple]) -> pd.DataFrame:
@@ -212,7 +227,7 @@ def pipeline_g4(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        leader_split, seed_absorb_split, agglomerative_merge, sequential_merge, two_stage_merge, refined_identities, merge_trace, greedy_frame_match, greedy_iou_match, online_link_batch, online_link_stream,
+        leader_split, seed_absorb_split, agglomerative_merge, sequential_merge, two_stage_merge, refined_identities, merge_trace, greedy_frame_match, review_overlay, greedy_iou_match, online_link_batch, online_link_stream,
         pipeline_g1, pipeline_g2, pipeline_g3, pipeline_g4,
     )
 }

@@ -153,3 +153,41 @@ from o left join m on m.frame_idx = o.frame_idx and m.local_id = o.local_id""",
     "gap_frames": """select video_id, fps, cast(greatest(1, round_even(fps * 3.0::DOUBLE, 0)) as bigint) as short_gap, cast(greatest(greatest(1, round_even(fps * 3.0::DOUBLE, 0)) * 2, round_even(fps * 8.0::DOUBLE, 0)) as bigint) as stale
 from (values (0::BIGINT, 10.0::DOUBLE), (1, 24.0), (2, 0.1), (3, 30.0), (4, 30.0), (5, 29.97)) v(video_id, fps)""",
 }
+
+#: A greedy walk over a frame's pairs p (frame_idx, k: their order, a, b), which takes a pair if both its sides are free.
+WALK = """walk as (select distinct frame_idx, 0::bigint as k, []::bigint[] as xs, []::bigint[] as ys from p
+union all select w.frame_idx, w.k + 1, case when list_contains(w.xs, p.a) or list_contains(w.ys, p.b) then w.xs else list_append(w.xs, p.a) end,
+case when list_contains(w.xs, p.a) or list_contains(w.ys, p.b) then w.ys else list_append(w.ys, p.b) end from walk w join p on p.frame_idx = w.frame_idx and p.k = w.k + 1),
+taken as (select frame_idx, unnest(xs) as a, unnest(ys) as b from (select frame_idx, arg_max(xs, k) as xs, arg_max(ys, k) as ys from walk group by frame_idx))"""
+MATCHED = f"""with recursive {CROPS}, {DETECTIONS}, o as (select * exclude (rn) from (select *, row_number() over (partition by frame_idx, local_id order by det_id) as rn from d) where rn = 1),
+f as (select cast(floor(o.frame_idx / 6) as int) as frame_idx, det_id, o.local_id, folder as person_id, emb, up, lo, y1 from o join crops on crop_id = det_id % (select count(*) from crops)),
+s as (select a.frame_idx, a.det_id as a, b.det_id as b, b.person_id, b.local_id, list_dot_product(a.emb, b.emb) as reid,
+0.4 * list_sum(list_transform(list_zip(a.up, b.up), lambda x: least(x[1], x[2]))) + 0.6 * list_sum(list_transform(list_zip(a.lo, b.lo), lambda x: least(x[1], x[2]))) as color
+from f a join f b on a.frame_idx = b.frame_idx and a.det_id % 2 = 0 and b.det_id % 2 = 1),
+p as (select *, row_number() over (partition by frame_idx order by round(reid + 0.2 * color, 9) desc, a, person_id, local_id, b) as k from s where reid >= 0.05 and color >= 0.6), {WALK}"""
+FOLDER_REPORT = f"""select folder, 'track' as section, track_id::bigint as a, null::bigint as b, image_count::bigint as n, min_sim as low, max_sim as high, mean_sim as value, null::varchar as told from ({SQL["track_summary"]})
+union all select folder, 'track to folder', local_id, null, null, null, color_sim, reid_sim, null from ({SQL["track_to_folder_similarity"]})
+union all select folder, 'pair', track_a, track_b, frame_overlap, null, color_sim, reid_sim, verdict from ({SQL["intra_track_pairs"]})"""
+PAIR_REPORT = f"""select spec, folder1, folder2, 'verdict' as section, null::bigint as a, null::bigint as b, frame_overlap::bigint as n, null::double as low, color_sim as high, reid_sim as value, reasons as told from ({SQL["compare_summary"]})
+union all select spec, folder1, folder2, 'pair', track1, track2, frame_overlap, null, color_sim, reid_sim, verdict from ({SQL["compare_track_pairs"]})
+union all select spec, folder1, folder2, 'images', image1, image2, null, null, null, sim, null from ({SQL["compare_top_pairs"]}) where image1 is not null
+union all select spec, folder1, folder2, 'range', null, null, null, min_sim, max_sim, mean_sim, null from ({SQL["pairwise_range"]})"""
+SQL |= {
+    "greedy_frame_match": f"{MATCHED} select t.frame_idx, t.a as det_id, t.b as sample_id, p.person_id, round(p.reid, 6) as reid_sim from taken t join p on p.frame_idx = t.frame_idx and p.a = t.a and p.b = t.b",
+    "review_overlay": f"""{MATCHED}, m as (select t.a, p.person_id from taken t join p on p.frame_idx = t.frame_idx and p.a = t.a and p.b = t.b)
+select det_id, cast(floor(frame_idx / 6) as int) as frame_idx, person_id, case when person_id is null then 'L' || local_id || ' ?' else printf('P%03d L%d', person_id, local_id) end as review_label,
+cast(case when y1 > 24 then y1 - 10 else y1 + 20 end as int) as review_y from o left join m on m.a = det_id where det_id % 2 = 0""",
+    "greedy_iou_match": f"""with recursive {DETECTIONS}, f as (select cast(floor(frame_idx / 6) as bigint) as frame_idx, det_id, x1, y1, x2, y2 from d),
+q as (select a.frame_idx, a.det_id as a_id, b.det_id as b_id, a.x1 as a_x1, a.y1 as a_y1, a.x2 as a_x2, a.y2 as a_y2, b.x1 as b_x1, b.y1 as b_y1, b.x2 as b_x2, b.y2 as b_y2 from f a join f b on a.frame_idx = b.frame_idx and a.det_id % 2 = 0 and b.det_id % 2 = 1),
+p as (select frame_idx, a_id as a, b_id as b, row_number() over (partition by frame_idx order by a_id, iou desc, b_id) as k from (select *, {IOU} as iou from q) where iou >= 0.1), {WALK}
+select t.frame_idx, 'both' as kind, a as a_id, b as b_id, {", ".join(f"cast((x.{c} + y.{c}) // 2 as int) as {c}" for c in ("x1", "y1", "x2", "y2"))} from taken t join f x on x.det_id = t.a join f y on y.det_id = t.b
+union all select frame_idx, 'only_a', det_id, null, x1::int, y1::int, x2::int, y2::int from f where det_id % 2 = 0 and not exists (select 1 from taken where a = det_id)
+union all select frame_idx, 'only_b', null, det_id, x1::int, y1::int, x2::int, y2::int from f where det_id % 2 = 1 and not exists (select 1 from taken where b = det_id)""",
+    "online_overlay": f"""with {CROPS}, {DETECTIONS}, m as (select frame as frame_idx, local_id, max(folder) as gid from crops group by frame, local_id),
+o as (select det_id, o.local_id, gid, y1, cast(floor((gid * 0.61803398875::DOUBLE - floor(gid * 0.61803398875::DOUBLE)) * 179) as int) as h from (select det_id, frame_idx, local_id % 5 as local_id, y1 from d) o left join m on m.frame_idx = o.frame_idx and m.local_id = o.local_id),
+c as (select *, cast(floor(h / 30) as int) as s, 255 * (1 - 220 / 255::DOUBLE) as p, 255 * (1 - 220 / 255::DOUBLE * (h / 30 - floor(h / 30))) as q, 255 * (1 - 220 / 255::DOUBLE * (1 - (h / 30 - floor(h / 30)))) as t from o)
+select det_id, 'L:' || local_id as local_text, coalesce('G:' || gid, 'G:?') as global_text, case when y1 > 24 then y1 - 10 else y1 + 20 end as local_y, case when y1 > 24 then y1 + 8 else y1 + 38 end as global_y,
+coalesce(cast(round([p, p, t, 255, 255, q][s + 1]) as int), 0) as b, coalesce(cast(round([t, 255, 255, q, p, p][s + 1]) as int), 165) as g, coalesce(cast(round([255, q, p, p, t, 255][s + 1]) as int), 255) as r from c""",
+    "deep_folder_report": FOLDER_REPORT,
+    "deep_pair_report": PAIR_REPORT,
+}

@@ -42,15 +42,15 @@ def keyed(d: DataFrame) -> DataFrame:
     return d.groupBy("frame_idx", "local_id").agg(least.alias("d")).select("frame_idx", "local_id", "d.*")
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed detections with a crop's vectors (by det_id) and the quality flag: input of online linking."""
-    own = crops(spark, sf_dir).select(F.col("crop_id"), F.col("emb").alias("embedding"), F.col("up").alias("upper"), F.col("lo").alias("lower"))
+def features(spark: SparkSession, sf_dir: str, person: bool = False) -> DataFrame:
+    """Keyed detections with a crop's vectors (by det_id) and the quality flag: input of online linking. person: and the crop's folder, as person_id."""
+    own = crops(spark, sf_dir).select(F.col("crop_id"), F.col("emb").alias("embedding"), F.col("up").alias("upper"), F.col("lo").alias("lower"), F.col("folder").alias("person_id"))
     n = own.select(F.count("*").alias("n_crops"))
     d = keyed(detections(spark, sf_dir)).crossJoin(F.broadcast(n)).withColumn("crop_key", F.col("det_id") % F.greatest("n_crops", F.lit(1)))
     ok = (F.col("bw") >= 10) & (F.col("bh") >= 20) & (F.col("area_ratio") >= 0.0012) & (F.col("sharpness") >= 12)
     return d.join(own, F.col("crop_key") == F.col("crop_id")).select(
         F.col("video_id").cast("long"), F.col("frame_idx").cast("int").alias("frame_idx"), F.col("det_id").alias("det_seq"), "local_id", F.struct(*[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("bbox"),
-        F.lit(1.0).alias("conf"), F.coalesce(ok, F.lit(False)).alias("reid_ok"), "embedding", "upper", "lower",
+        F.lit(1.0).alias("conf"), F.coalesce(ok, F.lit(False)).alias("reid_ok"), "embedding", "upper", "lower", *(["person_id"] if person else []),
     )
 
 
