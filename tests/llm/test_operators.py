@@ -224,7 +224,10 @@ def test_trie_probabilities_follow_from_counts():
         return {k: v[""] if "" in v else v for k, v in out.items()}
 
     none = np.zeros(0, np.uint64)
-    shard = nested(lm_score.smoothed(nested(lm_score.trie(columns, np.ones(4000, np.int64), 1)), np.full(3, 0.5), none, none, none))
+    raw = nested(lm_score.trie(columns, np.ones(4000, np.int64), 1))
+    shard = raw | nested(lm_score.smoothed(raw, np.full(3, 0.5), none, none, none))
+    big = np.array([1, 254, 255, 256, 10**10, 3])
+    assert (lm_score.unpacked({k[2:]: v for k, v in lm_score.packed("x", big).items()}) == big).all()
     count, probs, backs = lm_score.look_up(shard, columns)
     one, two = Counter(words.tolist()), Counter(zip(words.tolist(), columns[1].tolist(), strict=True))
     assert (count == [one[w] for w in words.tolist()]).all()

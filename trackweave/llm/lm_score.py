@@ -1,8 +1,8 @@
 """N-gram language model in sharded Elias-Fano tries, and its score of every text.
 
 Counting: each task packs the distinct n-grams of its training tokens, with counts, by shard of the first word; words so common that a
-shard would be uneven are spread by their second word. One task for each shard sorts and adds them up and writes its counts to the shared
-folder; when the counts of counts of all shards are known, another writes the shard's trie, as one file of levels:
+shard would be uneven are spread by their second word. One task for each shard sorts and adds them up and writes its words, pointers and counts to the
+shared folder; when the counts of counts of all shards are known, another writes the probabilities beside them. These levels make the shard's trie:
 
 * level 1: sorted 64-bit word hashes and exact counts;
 * level d > 1: each node's word (32 bits), sorted within its context, and its smoothed probability in 8 bits;
@@ -118,6 +118,18 @@ LEVELS_OF_Q = 2.0 ** (-np.arange(256) / BITS_A_STEP)
 # --- the trie of a shard ----------------------------------------------------
 
 
+def packed(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; 255 stands for those listed beside them."""
+    big = np.flatnonzero(counts >= 255)
+    return {f"{name}.low": np.minimum(counts, 255).astype(np.uint8), f"{name}.at": big, f"{name}.n": counts[big]}
+
+
+def unpacked(counts: dict[str, np.ndarray]) -> np.ndarray:
+    out = counts["low"].astype(np.int64)
+    out[counts["at"]] = counts["n"]
+    return out
+
+
 def trie(columns: list[np.ndarray], counts: np.ndarray, least_count: int) -> dict[str, np.ndarray]:
     """Levels of a shard from n-grams (first word: 64 bits, the others: 32) in any order, with repeats."""
     order = np.lexsort(columns[::-1])
@@ -134,8 +146,11 @@ def trie(columns: list[np.ndarray], counts: np.ndarray, least_count: int) -> dic
         kept.append(kept[d - 1][up] & (totals[d] >= least_count))
     for d in range(len(columns)):
         keep = kept[d]
-        levels[f"key{d}"], levels[f"total{d}"] = columns[d][firsts[d]][keep], totals[d][keep]
+        levels[f"key{d}"] = columns[d][firsts[d]][keep]
+        if d == 0:
+            levels["total0"] = totals[0][keep]
         if d:
+            levels |= packed(f"total{d}", totals[d][keep])
             levels[f"once{d}"] = np.array([(totals[d] == 1).sum(), (totals[d] == 2).sum()])
             own = (np.cumsum(kept[d - 1]) - 1)[(np.searchsorted(firsts[d - 1], firsts[d], "right") - 1)[keep]]
             for k, v in ef_build(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=int(kept[d - 1].sum())))])).items():
@@ -144,7 +159,7 @@ def trie(columns: list[np.ndarray], counts: np.ndarray, least_count: int) -> dic
 
 
 def smoothed(levels: dict, discounts: np.ndarray, common: np.ndarray, common_totals: np.ndarray, common_backs: np.ndarray) -> dict[str, np.ndarray]:
-    """A shard's levels with probabilities and back-off weights instead of counts: what they are follows from counts over the whole corpus.
+    """Probabilities and back-off weights of a shard's levels: what they are follows from counts over the whole corpus.
 
     Of a common word, spread over shards, the count and the back-off weight are given: those of all shards.
     """
@@ -153,20 +168,16 @@ def smoothed(levels: dict, discounts: np.ndarray, common: np.ndarray, common_tot
     spot = np.flatnonzero(np.isin(levels["key0"], common))
     given = np.searchsorted(common, levels["key0"][spot])
     out["count"][spot] = common_totals[given]
-    for d in range(order):
-        out[f"key{d}"] = levels[f"key{d}"]
-        if d:
-            pointers = levels[f"ptr{d - 1}"]
-            edges = ef_get(pointers, np.arange(len(levels[f"key{d - 1}"]) + 1))
-            own = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-            above = out["count"] if d == 1 else levels[f"total{d - 1}"]
-            rest = levels[f"total{d}"] - discounts[d]
-            out[f"prob{d}"] = quantised(rest / above[own])
-            back = quantised(1 - np.bincount(own, weights=rest, minlength=len(above)) / above)
-            if d == 1:
-                back[spot] = common_backs[given]
-            out[f"back{d - 1}"] = back
-            out |= {f"ptr{d - 1}.{k}": v for k, v in pointers.items()}
+    above = out["count"]
+    for d in range(1, order):
+        edges = ef_get(levels[f"ptr{d - 1}"], np.arange(len(levels[f"key{d - 1}"]) + 1))
+        own, totals = np.repeat(np.arange(len(edges) - 1), np.diff(edges)), unpacked(levels[f"total{d}"])
+        rest = totals - discounts[d]
+        out[f"prob{d}"] = quantised(rest / above[own])
+        out[f"back{d - 1}"] = quantised(1 - np.bincount(own, weights=rest, minlength=len(above)) / above)
+        if d == 1:
+            out["back0"][spot] = common_backs[given]
+        above = totals
     return out
 
 
@@ -267,7 +278,7 @@ class Model:
         if s not in self.filled:
             return None
         try:
-            return map_levels(f"{self.folder}/{s}")
+            return map_levels(f"{self.folder}/{s}") | map_levels(f"{self.folder}/{s}.p")
         except FileNotFoundError as e:
             raise FileNotFoundError(f"shard {s} of the language model is missing in {self.folder}: fit the model again") from e
 
@@ -342,12 +353,12 @@ def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int
         get = lambda i, kind: np.concatenate([np.frombuffer(x, kind) for b in parts for x in b.column(i).to_pylist()])
         shard = parts[0].column(0)[0].as_py()
         levels = trie([np.repeat(get(1, np.uint64), get(2, np.uint32)), *(get(d + 2, np.uint32) for d in range(1, order))], get(order + 2, np.uint32), least_count)
-        os.makedirs(f"{folder}/counts", exist_ok=True)
-        write_levels(f"{folder}/counts/{shard}", levels)
+        os.makedirs(f"{folder}/trie", exist_ok=True)
+        write_levels(f"{folder}/trie/{shard}", levels)
         kept = np.flatnonzero(np.isin(levels["key0"], sent.value))
         ptr = {k.partition(".")[2]: v for k, v in levels.items() if k.startswith("ptr0.")}
         lo, hi = ef_get(ptr, kept), ef_get(ptr, kept + 1)
-        mass = np.concatenate([[0], np.cumsum(levels["total1"])])
+        mass = np.concatenate([[0], np.cumsum(unpacked({k.partition(".")[2]: v for k, v in levels.items() if k.startswith("total1.")}))])
         rows = [("shard", shard, len(levels["key0"]) - len(kept), int(levels["total0"].sum()))]
         rows += [("once", d, *map(int, levels[f"once{d}"])) for d in range(1, order)]
         rows += [("common", w, int(hi[i] - lo[i]), int(mass[hi[i]] - mass[lo[i]])) for i, w in enumerate(signed(levels["key0"][kept]).tolist())]
@@ -367,15 +378,14 @@ def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", order: int
     backs = quantised(1 - (own["x"].to_numpy(float) - discounts[1] * own["n"].to_numpy(float)) / np.maximum(1, totals))
 
     def smooth(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(f"{folder}/trie", exist_ok=True)
         for b in parts:
             for s in b.column(0).to_pylist():
-                write_levels(f"{folder}/trie/{s}", smoothed(map_levels(f"{folder}/counts/{s}"), discounts, words, totals, backs))
+                write_levels(f"{folder}/trie/{s}.p", smoothed(map_levels(f"{folder}/trie/{s}"), discounts, words, totals, backs))
             yield b
 
     if len(filled):
         work.write(told.where("kind = 'shard'").select("w").repartition(len(filled), "w").mapInArrow(smooth, "w long"), "smoothed")
-    work.drop("counts", "census")
+    work.drop("census")
     return Model(f"{folder}/trie", shards, filled, words, totals, LEVELS_OF_Q[backs], n, v, order)
 
 
