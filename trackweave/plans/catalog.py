@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.plans import diagnostics, files, refine, sql
+from trackweave.plans import diagnostics, files, images, refine, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return diagnostics.QUERIES | refine.QUERIES | files.QUERIES
+    return diagnostics.QUERIES | refine.QUERIES | files.QUERIES | images.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.SQL | files.SQL
+    return sql.SQL | files.SQL | images.SQL

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave import schema
 
+# fixed values: endings of image files; names of folders (person_, track_) and of crops (frame_, _t, _l) below
 IMAGES = ["jpg", "jpeg", "png", "bmp", "webp"]
 
 
@@ -36,6 +40,24 @@ def folder_token(token: Column) -> Column:
     return F.when(token.rlike("^[0-9]+$"), F.format_string("person_%03d", F.coalesce(number, F.lit(0)))).otherwise(token)
 
 
+def resolved_path(path: str | None, default: str, bases: list[str], exists: Callable[[Path], bool] = Path.exists) -> Path:
+    """An absolute path stays; else the first of bases below which it exists, else below the first base. A driver's helper for a command's few arguments."""
+    asked = Path(path or default)
+    tries = [asked] if asked.is_absolute() else [Path(b) / asked for b in bases]
+    return next((t for t in tries if exists(t)), tries[0])
+
+
+def resolved_folder(root: str, token: str, exists: Callable[[Path], bool] = Path.exists) -> Path:
+    """A folder from a spec's token: one that is absolute or exists stays; digits become person_%03d below root, all else goes below root. An empty token raises."""
+    token = token.strip()
+    if not token:
+        raise ValueError("an empty folder token")
+    asked = Path(token)
+    if asked.is_absolute() or exists(asked):
+        return asked
+    return Path(root) / (f"person_{int(token):03d}" if token.isdigit() else token)
+
+
 def pair_specs(specs: DataFrame, column: str = "spec") -> DataFrame:
     """A row (spec, left, right, status) for each pair; a spec that does not parse gives one row with status 'error'."""
     pattern = r"^\s*(.*?)\s*(?:(?i:\bis\b)|:|=)\s*(.*?)\s*$"
@@ -64,6 +86,10 @@ def scan_folders(spark: SparkSession, root: str, prefix: str = "person_", conten
     return with_names(files).select("path", "folder", "name", "frame", "local_id", F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
 
 
+def track_folder(local_id: Column) -> Column:
+    return F.format_string("track_%03d", local_id)
+
+
 def track_folder_order(folder: Column) -> Column:
     """track_ folders sort by their number."""
     return parsed_int(folder, r"_(\d+)$")

@@ -54,6 +54,13 @@ def features(spark: SparkSession, sf_dir: str, person: bool = False) -> DataFram
     )
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small pictures of 8 x 8 pixels: crop_id, height, width, pixels (blue, green, red bytes made of a vector's numbers)."""
+    v = crops(spark, sf_dir).select("crop_id", F.transform("emb", lambda x: (F.floor(F.abs(x) * 1024) % 256).cast("int")).alias("v"))
+    triples = F.flatten(F.transform("v", lambda x, i: F.array(x, F.get("v", (i + 21) % 64), F.get("v", (i + 42) % 64))))
+    return v.select("crop_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(F.array_join(F.transform(triples, lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("pixels"))
+
+
 SPECS = ["4 is 3", "2, 1 is 0", "5 : 6", "7 = 8", "9 bad"]
 LABELLED = ["4 is 3", "20 is 7", "34, 21 is 16", "31, 23 is 19", "33, 28, 27 is 2", "30 is 17", "32 is 1", "33 bad"]
 
