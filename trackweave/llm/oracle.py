@@ -1,12 +1,12 @@
 """DuckDB SQL for the queries of this folder that SQL can express: the plain definition of each result, without the operator's method.
 
-The four read whole tables and join all that could meet, which is right for a check on small tables and for nothing else.
+They read whole tables and join all that could meet, which is right for a check on small tables and for nothing else.
 Formats and classes of secrets are those of the operator; a possessive repeat becomes a plain one, which RE2 knows and which finds the same runs.
 """
 
 from __future__ import annotations
 
-from trackweave.llm import secrets, urlfilter
+from trackweave.llm import neardup, secrets, urlfilter
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{{}}')"
@@ -75,6 +75,22 @@ select doc_id, len(w) as n_words, coalesce(h.n, 0) as n_hit, coalesce(m.n, 0) as
 from t left join h using (r) left join m using (r)
 """
 
+#: Every pair of vectors; the operator's passes may miss a link that this has, but have none that it lacks.
+NEAR = f"""
+with recursive t as (select vec_id, row_number() over () as r, embedding::double[] as v from embeddings),
+g as (select r, vec_id, case when len(list_filter(v, lambda x: x <> 0)) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 then list_filter(v, lambda x: x is not null) end as v from t),
+u as (select r, vec_id, len(v) as d, v, sqrt(list_inner_product(v, v)) as norm from g where v is not null),
+link as (select a.r as x, b.r as y, b.vec_id as id from u a join u b on a.r <> b.r and a.d = b.d where list_inner_product(a.v, b.v) >= {neardup.THRESHOLD} * a.norm * b.norm),
+reach(x, y, id) as (select x, y, id from link union select r.x, l.y, l.id from reach r join link l on l.x = r.y),
+n as (select x, count(*) as n from link group by x),
+c as (select x, min(id) as id from reach group by x)
+select vec_id, coalesce(n.n, 0) as n_links, least(vec_id, c.id) as component_id, coalesce(vec_id = least(vec_id, c.id), false) as kept
+from t left join n on n.x = t.r left join c on c.x = t.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_sql(), "op5_jaccard_join": JACCARD, "op7_decontamination": DECONTAMINATION, "op10_url_filter": urlfilter.OP10_SQL}
+    return {
+        "op3_secret_scan": secret_sql(), "op5_jaccard_join": JACCARD, "op7_decontamination": DECONTAMINATION,
+        "op9_embedding_near_dedup": NEAR, "op10_url_filter": urlfilter.OP10_SQL,
+    }
