@@ -61,3 +61,15 @@ def test_a_large_frame_takes_no_memory_for_its_pairs(spark, monkeypatch):
     want = walked(np.round(reid + FIXTURE.merge_weight * color, 9), (reid >= FIXTURE.match_reid) & (color >= FIXTURE.match_color))
     assert len(want) > 900
     assert list(zip(got["det_id"], got["sample_id"], strict=True)) == [(a["det_seq"].iloc[i], b["det_seq"].iloc[j]) for i, j in want]
+
+
+def test_review_overlay_takes_no_memory_for_pairs(spark, monkeypatch):
+    folded, kind = [], type(spark.range(1).groupBy("id"))
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, f, schema, own=kind.applyInPandas: folded.append(f) or own(self, f, schema))
+    shown = refine.review_overlay(spark, SF)
+    d = frame(2000, 1)
+    tracemalloc.start()
+    got = folded[0](d)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(folded) == 1 and "review_label" in shown.columns and len(got) > 900 and peak < 60e6
